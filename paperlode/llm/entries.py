@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, mixing, quality_rules
+from paperlode.llm import bpe, licenses, media, mixing, quality_rules, secrets
 from paperlode.llm.common import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,16 +17,31 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op3_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(documents(spark, sf_dir), keep=False)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir))
 
 
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_media_features, op4_mixing, op7_secret_scan, op9_quality_rules)}
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op4_mixing": op4_mixing, "op9_quality_rules": op9_quality_rules}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
