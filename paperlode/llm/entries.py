@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, licenses, media, mixing, quality_rules, secrets
+from paperlode.llm import bpe, licenses, line_dedup, media, mixing, quality_rules, secrets
 from paperlode.llm.common import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -33,11 +33,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_media_features, op4_mixing, op7_secret_scan, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_media_features, op4_mixing, op7_secret_scan, op8_line_dedup, op9_quality_rules)}
 
 
 def queries() -> dict:
@@ -45,4 +49,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL}
+    return {"op4_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
