@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import slices, spark_schema
+from paperlode.llm.common import mapped, slices, spark_schema
 
 #: A text of more characters is cut before it is encoded.
 CHUNK_CHARS = 1 << 15
@@ -132,7 +132,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
                 columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *schema.names[1:]])
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, spark_schema(df, id_col, schema))
+    return mapped(df.select(F.col(id_col), F.col(text_col).cast("string")), run, spark_schema(df, id_col, schema))
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -146,4 +146,4 @@ def decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
             out = [own.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "decoded"])
 
-    return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, spark_schema(df, id_col, schema))
+    return mapped(df.select(F.col(id_col), F.col(ids_col)), run, spark_schema(df, id_col, schema))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +48,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYT
             yield batch.slice(start, n - start)
 
 
+def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow, with this package sent to the executors first: they needn't have it installed."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "has_own_package", False):
+        package = Path(__file__).parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"  # the driver serves it from here
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context.has_own_package = True
+    return df.mapInArrow(function, schema)
+
+
 def per_text(df: DataFrame, id_col: str, text_col: str, row: Callable[[bytes | None], tuple], fields: list[pa.Field]) -> DataFrame:
     """(id, *row(text as UTF-8)) for each row of df; `fields` are row()'s columns. Only the two columns reach Python."""
     names = [id_col, *(f.name for f in fields)]
@@ -57,7 +73,7 @@ def per_text(df: DataFrame, id_col: str, text_col: str, row: Callable[[bytes | N
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=True))], names=names)
 
     schema = pa.schema([pa.field("x", pa.int64()), *fields])
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, spark_schema(df, id_col, schema))
+    return mapped(df.select(F.col(id_col), F.col(text_col).cast("string")), run, spark_schema(df, id_col, schema))
 
 
 def spark_schema(df: DataFrame, id_col: str, schema: pa.Schema):

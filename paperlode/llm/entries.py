@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, licenses, line_dedup, media, mixing, quality_rules, secrets
+from paperlode.llm import bpe, licenses, line_dedup, media, mixing, near_dedup, quality_rules, secrets
 from paperlode.llm.common import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -41,7 +41,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_media_features, op4_mixing, op7_secret_scan, op8_line_dedup, op9_quality_rules)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_media_features, op4_mixing, op7_secret_scan, op8_line_dedup, op9_quality_rules, op10_near_dedup)}
 
 
 def queries() -> dict:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import sha256, slices, spark_schema
+from paperlode.llm.common import mapped, sha256, slices, spark_schema
 
 
 @dataclass(frozen=True)
@@ -266,4 +266,4 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array(map(joined, found), pa.string())], names=names)
 
     schema = spark_schema(df, id_col, pa.schema([pa.field("x", pa.int64()), *fields]))
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return mapped(df.select(F.col(id_col), F.col(text_col).cast("string")), run, schema)
