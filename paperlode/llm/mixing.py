@@ -67,14 +67,14 @@ def with_copies(df: DataFrame, seed: str, id_col: str, text_col: str, source_col
     The table of sources is joined by Spark's own choice: it is broadcast if its measured size is below the session's
     threshold, else both sides are shuffled and a hot source's partition is split at run time.
     """
-    size, source, source_size, target, copies = fresh(df, "size", "source_of", "source_size", "target", "copies")
-    sized = df.withColumn(size, n_words(F.col(text_col)))
+    size, source, source_size, target, copies, drawn = fresh(df, "size", "source_of", "source_size", "target", "copies", "drawn")
+    sized = df.withColumns({size: n_words(F.col(text_col)), drawn: draw(seed, F.col(id_col), F.col(text_col))})
     table = targets(sized.select(F.col(source_col).alias("source"), F.col(size).alias("size")), "source", "size")
     table = table.toDF(source, source_size, target)
     rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(1.0))
     whole = F.floor(rate)
-    n = whole + F.when(draw(seed, F.col(id_col), F.col(text_col)) < rate - whole, 1).otherwise(0)
-    out = sized.join(table, F.col(source_col).eqNullSafe(F.col(source)), "left").withColumn(copies, n.cast("long")).drop(source)
+    n = whole + F.when(F.col(drawn) < rate - whole, 1).otherwise(0)
+    out = sized.join(table, F.col(source_col).eqNullSafe(F.col(source)), "left").withColumn(copies, n.cast("long")).drop(source, drawn)
     return out, [size, source_size, target, copies]
 
 
