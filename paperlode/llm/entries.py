@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, licenses, line_dedup, media, mixing, near_dedup, quality_rules, secrets
+from paperlode.llm import bpe, licenses, line_dedup, media, mixing, near_dedup, quality_model, quality_rules, secrets, toxicity
 from paperlode.llm.common import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +30,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir))
 
@@ -45,11 +54,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_media_features, op4_mixing, op7_secret_scan, op8_line_dedup, op9_quality_rules, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_media_features, op4_mixing, op5_toxicity, op6_quality_model, op7_secret_scan, op8_line_dedup, op9_quality_rules, op10_near_dedup)}
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
