@@ -35,7 +35,7 @@ from paperlode.llm.graph import components
 
 PERCENT = 85
 TREES, DEPTH, KEY = 24, 3, 8  # KEY: values that an order sorts by
-NEAR = 4
+NEAR = 3
 FAMILY = 0.5
 #: A block has about so many classes, or about so many shingles, at most; a longer text is a block of its own.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
