@@ -29,20 +29,26 @@ from paperlode.llm.licenses import TO_WORDS
 FOLDS, FOLD = 5, 0
 #: Bounds of the fit: examples of each class; terms.
 MOST, TERMS = 4000, 512
-LEAST_EXAMPLES, LEAST_CHI, LEAST_RATIO = 4, 25.0, 20
+LEAST_EXAMPLES, LEAST_CHI, LEAST_RATIO = 4, 25.0, 4
 PREFIX = 5  # bytes
+#: A prefix is frequent in a text that has it so often, and once in so many words or more.
+FREQUENT, PER = 2, 100
 NEAREST, BLOCK = 15, 64
 SHOWN = 3
 
 
 def terms(text: bytes | None) -> Counter:
-    """Words, and the prefixes of longer words after a zero byte, with their counts."""
+    """Words, the prefixes of longer words after a zero byte, and those that are frequent in the text once more after a
+    one byte, with their counts."""
     out = Counter((text or b"").translate(TO_WORDS).split())
     prefixes: Counter = Counter()
     for w, n in out.items():
         if len(w) > PREFIX:
             prefixes[b"\0" + w[:PREFIX]] += n
+    total = out.total()
+    frequent = {b"\1" + t[1:]: n for t, n in prefixes.items() if n >= FREQUENT and n * PER >= total}
     out.update(prefixes)
+    out.update(frequent)
     return out
 
 
