@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -90,12 +91,27 @@ def cut(df: DataFrame) -> DataFrame:
 
     Only where the session names no folder (as in tests on one machine) is a temporary one set.
     """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as a table to the folder of checkpoints.
+
+    For loops: a checkpoint keeps its plan's estimated size, which multiplies with each join from round to round until
+    planning hangs over its digits; a table has its measured size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where checkpoints go, as spark.checkpoint.dir says; set here if it isn't set yet."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
 
 
 def sha256(data: bytes) -> str:
