@@ -98,8 +98,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df, written as a table to the folder of checkpoints.
 
-    For loops: a checkpoint keeps its plan's estimated size, which multiplies with each join from round to round until
-    planning hangs over its digits; a table has its measured size.
+    Unlike a checkpoint, which keeps its plan's estimated size, a table has its measured size.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -96,7 +96,7 @@ def test_components(spark):
 def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     """Of nodes in order, each linked with the next: the worst order for pointers at smaller nodes."""
     tables = []
-    monkeypatch.setattr(graph, "written", lambda df, own=graph.written: (tables.append(1), own(df))[1])
+    monkeypatch.setattr(graph, "cut", lambda df, own=graph.cut: (tables.append(1), own(df))[1])
     chain = spark.range(1, 20_000).selectExpr("id AS a", "id + 1 AS b")
     assert graph.components(chain).select("label").distinct().count() == 1
     assert len(tables) <= 2 + 3 * 16
