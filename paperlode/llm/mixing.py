@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import WORD, fresh
+from paperlode.llm.common import WORD, fresh, written
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -64,13 +64,14 @@ def targets(sizes: DataFrame, source_col: str, size_col: str) -> DataFrame:
 def with_copies(df: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, list[str]]:
     """df's rows with size, source_size, target and copies under the names that come second.
 
-    The table of sources is joined by Spark's own choice: it is broadcast if its measured size is below the session's
-    threshold, else both sides are shuffled and a hot source's partition is split at run time.
+    The table of sources is written first, so that its size is measured and not estimated: it is broadcast if that size
+    is below the session's threshold, and the documents stay where they are; else both sides are shuffled and a hot
+    source's partition is split at run time.
     """
     size, source, source_size, target, copies, drawn = fresh(df, "size", "source_of", "source_size", "target", "copies", "drawn")
     sized = df.withColumns({size: n_words(F.col(text_col)), drawn: draw(seed, F.col(id_col), F.col(text_col))})
     table = targets(sized.select(F.col(source_col).alias("source"), F.col(size).alias("size")), "source", "size")
-    table = table.toDF(source, source_size, target)
+    table = written(table).toDF(source, source_size, target)
     rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(1.0))
     whole = F.floor(rate)
     n = whole + F.when(F.col(drawn) < rate - whole, 1).otherwise(0)
