@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from paperlode.llm.common import cut, written
 
-RESET = 4
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of the edges (a, b): the label is a node, the same one for all nodes of a component.
@@ -18,10 +16,10 @@ def components(edges: DataFrame) -> DataFrame:
     Each round orders the nodes by a hash that is another one in each round, points every node at its first neighbour or
     itself, follows the pointers twice, and maps the edges along. In such an order paths of pointers are short however
     the graph's nodes are numbered, so that the nodes that still have edges are at most about half as many after each
-    round, chains included. Rounds are cut from their lineage; every RESET rounds the edges become a table, since the
-    estimated sizes of checkpoints multiply through the joins until planning hangs over their digits.
+    round, chains included. Rounds are cut from their lineage; the edges and the result are tables, since the estimated
+    sizes of checkpoints multiply through the joins from round to round until planning hangs over their digits.
     """
-    edges, labels = cut(edges.select("a", "b").filter("a != b").distinct()), None
+    edges, labels = written(edges.select("a", "b").filter("a != b").distinct()), None
     for turn in itertools.count():
         ends = edges.select("a", "b").union(edges.select("b", "a"))
         ranked = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("n"))
@@ -39,7 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
             labels = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         a, b = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
         mapped = edges.join(a, "a").join(b, "b").filter("x != y")
-        keep = written if turn % RESET == RESET - 1 else cut
-        edges = keep(mapped.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = written(mapped.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if edges.isEmpty():
-            return cut(labels)
+            return written(labels)
