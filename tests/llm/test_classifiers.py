@@ -78,7 +78,7 @@ def test_toxicity(spark, tables):
 
 
 def test_toxicity_held_out(spark):
-    """On the tables with 825 held-out rows; about a tenth of the toxic ones have lost what made them so."""
+    """On the tables with 825 held-out rows."""
     folder = "/root/testdata/sf0.1"
     out = entries.op5_toxicity(spark, folder)
     good, auc = held_out(out, spark.read.parquet(f"{folder}/labels.parquet"), "toxic")
