@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from paperlode.llm import bpe, line_dedup, mixing, near_dedup, quality_rules
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Near-duplicates share this part of their sets of five words or more; op10_near_dedup has a threshold of its own.
+NEAR_PERCENT = 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_dedup.deduped(docs)
+    return near_dedup.deduped(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

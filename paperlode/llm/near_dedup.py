@@ -6,12 +6,14 @@
    the longest common prefixes, so the depth follows the region: in a sparse one candidates share DEPTH values, in a
    dense one many more. The orders are made by range partitioning, which splits any region between tasks.
 3. Candidates whose whole signatures agree by FAMILY or more make edges; their components are families. A family is far
-   wider than a link (0.5 against 0.85), so that linked classes are in one family though they are no neighbours.
+   wider than a link (0.5 against 0.80 or 0.85), so that linked classes are in one family though they are no neighbours.
 4. Within a family every two classes are compared on full sets: sets meet in blocks of bounded size, a task for each two
    blocks, and each task returns no more edges than it has classes (a spanning forest of the links it found).
 5. Components of those edges are the groups.
 
-For two classes with similarity 0.85 the chance to share no prefix in any tree is (1 - 0.85 ** 3) ** 24 < 2e-10.
+A link's similarity is `percent` hundredths or more: 85 in op10_near_dedup, 80 in the pipeline. The chance that two
+classes share no prefix in any tree is (1 - 0.85 ** 3) ** 24 < 2e-10 at similarity 0.85, (1 - 0.80 ** 3) ** 24 < 4e-8 at
+0.80; that their signatures agree by less than FAMILY is below 6e-13 and 4e-9.
 
 Defined results: a null text or one without words has an empty set, and is linked with nothing; rows that repeat an id
 and text share a result; a null id never is a component's id, unless all of its documents have none (then null), and
@@ -95,7 +97,7 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array((x == y).mean(axis=1) >= FAMILY)).select([0, 1])
 
 
-def linked(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def linked(sets: list[np.ndarray], percent: int = PERCENT, columns: int = 4096) -> np.ndarray:
     """The matrix of links between sets (sorted, without repeats), by the exact sizes of intersections."""
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
     if n == 2:
@@ -112,7 +114,7 @@ def linked(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
             part = np.zeros((n, columns), np.float32)
             part[row[lo:hi], at[lo:hi] - start] = 1
             both += (part @ part.T).astype(np.int64)
-    return 100 * both >= PERCENT * (sizes[:, None] + sizes - both)
+    return 100 * both >= percent * (sizes[:, None] + sizes - both)
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -133,14 +135,14 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirmed(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Of rows (family, i, j, set_key, hashes), sorted by the first four: edges (a, b) of linked classes."""
     a, b = [], []
     for _, group in groupby(rows(batches), key=lambda r: r[:3]):
         own = {r[3]: np.frombuffer(r[4], S.U) for r in group}
         keys = [*own]
         if len(keys) > 1:
-            for x, y in forest(linked([*own.values()])):
+            for x, y in forest(linked([*own.values()], percent)):
                 a.append(keys[x])
                 b.append(keys[y])
         if len(a) > 10_000:
@@ -169,7 +171,7 @@ def families(classes: DataFrame) -> DataFrame:
     return components(mapped(judged, alike, "a binary, b binary"))
 
 
-def links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) that join each group's classes, all of them confirmed on full sets."""
     member = cut(families(classes.select("set_key", "sig")).withColumnRenamed("node", "set_key").withColumnRenamed("label", "family").join(classes.select("set_key", "key", "n_shingles"), "set_key"))
     size = cut(member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
@@ -181,14 +183,14 @@ def links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Data
     dealt = sets.select("family", "block", "blocks", "set_key", "hashes", other).filter("blocks = 1 OR block != other")
     pairs = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_key", "hashes")
     met = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set_key")
-    return mapped(met, confirmed, "a binary, b binary")
+    return mapped(met, lambda batches: confirmed(batches, percent), "a binary, b binary")
 
 
-def grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def grouped(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """(id, key, n_shingles, component_id)."""
     signed = cut(signatures(df, id_col, text_col))
     classes = cut(signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("key").alias("key"), F.min("id").alias("first"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies")))
-    label = components(links(df, classes, id_col, text_col)).withColumnRenamed("node", "set_key")
+    label = components(links(df, classes, id_col, text_col, percent)).withColumnRenamed("node", "set_key")
     marked = classes.select("set_key", "first", "copies").join(label, "set_key", "left").filter("copies > 1 OR label IS NOT NULL")
     marked = cut(marked.select("set_key", "first", F.coalesce("label", "set_key").alias("label")))
     smallest = cut(marked.groupBy("label").agg(F.min("first").alias("component_id")))
@@ -203,8 +205,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return grouped(df, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", kept)
 
 
-def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """df's rows and columns, without those that another document of their group stands for."""
     (key,) = fresh(df, "key")
-    gone = grouped(df, id_col, text_col).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias(key)).distinct()
+    gone = grouped(df, id_col, text_col, percent).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias(key)).distinct()
     return df.withColumn(key, row_key(id_col, text_col)).join(gone, key, "left_anti").select(*df.columns)

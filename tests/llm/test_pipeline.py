@@ -61,3 +61,17 @@ def test_stages(spark):
             assert stage(spark, df, "").columns == df.columns, name
             stage(spark, df, "").count()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_near_stage_at_its_own_threshold(spark):
+    """Against all pairs at 0.80, with pairs at 16 of 20 shingles, in the band up to 0.85 and below it."""
+    rng = cases.seeded(10)
+    docs = []
+    for i in range(60):
+        text = cases.prose(rng, 150, 10**6)
+        docs += [(2 * i, text), (2 * i + 1, cases.changed(rng, text, rng.choice([0.01, 0.02, 0.03, 0.05])))]
+    words = [f"a{i}" for i in range(22)]
+    docs += [(200, " ".join(words)), (201, " ".join([*words[:20], "y1", "y2"]))]
+    kept = [{d for d, top in cases.near_groups(docs, percent).items() if d == top} for percent in (80, 85)]
+    assert kept[0] < kept[1] and 201 in kept[1] - kept[0] and len(kept[1] - kept[0]) > 3
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, cases.table(spark, docs), "").collect()} == kept[0]
