@@ -45,8 +45,8 @@ HASHES = TREES * DEPTH
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Of a row: its id, or, if that is null, a digest of its text."""
-    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text_col, F.lit("")))))
+    """Of a row: its id and a digest of its text, as rows may share an id."""
+    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

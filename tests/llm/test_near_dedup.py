@@ -115,6 +115,14 @@ def test_odd_rows(spark):
     assert near_dedup.groups(df.limit(0)).count() == 0 and near_dedup.deduped(df.limit(0)).count() == 0
 
 
+def test_rows_of_an_id_go_by_their_text(spark):
+    """Of rows that share an id, only the one that another document stands for goes."""
+    rng = cases.seeded(11)
+    a, b = (cases.prose(rng, 60, 10**6) for _ in range(2))
+    out = near_dedup.deduped(cases.table(spark, [(3, a), (5, a.upper()), (5, b), (5, None), (5, "")]))
+    assert cases.rows_of(out, "doc_id", "text") == sorted([(3, a), (5, b), (5, None), (5, "")], key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+
+
 def by_size(out, doc):
     return next(r.n_shingles for r in out if r.doc_id == doc)
 
