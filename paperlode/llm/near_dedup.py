@@ -14,6 +14,9 @@
 A link's similarity is `percent` hundredths or more: 85 in op10_near_dedup, 80 in the pipeline. The chance that two
 classes share no prefix in any tree is (1 - 0.85 ** 3) ** 24 < 2e-10 at similarity 0.85, (1 - 0.80 ** 3) ** 24 < 4e-8 at
 0.80; that their signatures agree by less than FAMILY is below 6e-13 and 4e-9.
+These bounds leave out NEAR: two classes that share a prefix are no candidates in an order in which NEAR or more others
+stand between them. If that holds in all orders where they share one, they meet only if a chain of candidates that agree
+by FAMILY joins them. How often a dense region has no such chain isn't bounded here, as it depends on the texts.
 
 Defined results: a null text or one without words has an empty set, and is linked with nothing; rows that repeat an id
 and text share a result; a null id never is a component's id, unless all of its documents have none (then null), and
@@ -37,7 +40,7 @@ from paperlode.llm.graph import components
 
 PERCENT = 85
 TREES, DEPTH, KEY = 24, 3, 8  # KEY: values that an order sorts by
-NEAR = 3
+NEAR = 4
 FAMILY = 0.5
 #: A block has about so many classes, or about so many shingles, at most; a longer text is a block of its own.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,14 @@ def test_odd_rows(spark):
     assert near_dedup.groups(df.limit(0)).count() == 0 and near_dedup.deduped(df.limit(0)).count() == 0
 
 
+def test_candidates_are_the_next_four():
+    """Of classes that share a prefix, also over the ends of batches."""
+    keys = [bytes([i]) for i in range(12)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(ks)), pa.array([b"p" * 32] * len(ks)), pa.array(ks)], names=["tree", "prefix", "set_key"]) for ks in (keys[:5], keys[5:7], keys[7:])]
+    found = [(a, b) for batch in near_dedup.neighbours(iter(batches)) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+    assert sorted(found) == [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 : i + 5]]
+
+
 def test_rows_of_an_id_go_by_their_text(spark):
     """Of rows that share an id, only the one that another document stands for goes."""
     rng = cases.seeded(11)
