@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at once; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
+#: A table whose values take at most so many bytes, as counted on the written table, is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +107,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df as a written table, marked for broadcast if its values take at most `most` bytes; else joins shuffle it."""
+    out = written(df)
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("binary")), F.lit(0)) if kind in ("string", "binary") else F.lit(8)) + 16 for c, kind in out.dtypes)
+    size = out.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(out) if size <= most else out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where checkpoints go, as spark.checkpoint.dir says; set here if it isn't set yet."""
     context = spark.sparkContext

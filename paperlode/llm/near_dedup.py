@@ -2,23 +2,28 @@
 
 1. Equal shingle sets are one class from here on, so copies never make pairs.
 2. Forest: TREES sorted orders of the signature, each beginning at other MinHash values. In each order a class's
-   candidates are its next NEAR neighbours that share a prefix of DEPTH values or more. Neighbours in sorted order have
-   the longest common prefixes, so the depth follows the region: in a sparse one candidates share DEPTH values, in a
-   dense one many more. The orders are made by range partitioning, which splits any region between tasks.
-3. Candidates whose whole signatures agree by FAMILY or more make edges; their components are families. A family is far
-   wider than a link (0.5 against 0.80 or 0.85), so that linked classes are in one family though they are no neighbours.
-4. Within a family every two classes are compared on full sets: sets meet in blocks of bounded size, a task for each two
-   blocks, and each task returns no more edges than it has classes (a spanning forest of the links it found).
-5. Components of those edges are the groups.
+   candidates are its next NEAR neighbours that share a prefix of DEPTH values or more: neighbours in sorted order have
+   the longest common prefixes. The orders are made by range partitioning, which splits any region between tasks.
+3. The depth follows the region. Where more than NEAR neighbours share all KEY values of an order, the region is crowded:
+   its rows alone are sorted anew by DEEP values. A class that is crowded in CROWDED orders or more, mostly by strangers
+   (classes whose signatures agree by less than ALIKE), is sorted in EXTRA further orders, as at a greater depth each
+   order finds a link more rarely. So the work grows with the number of classes, however many share a page's template.
+4. Candidates whose signatures agree by ALIKE or more make edges; their components are families. Linked classes are in
+   one family though they are no neighbours, if a chain of candidates joins them.
+5. Within a family of at most MANY blocks every two classes are compared on full sets: sets meet in blocks of bounded
+   size, a task for each two blocks, and each task returns no more edges than it has classes (a spanning forest of the
+   links it found). A larger family is first dealt at random into blocks TURNS times, and each block is compared in
+   itself. What that joins fills solid blocks, which needn't meet each other; only blocks of different components meet.
+6. Components of those edges are the groups.
 
 A link's similarity is `percent` hundredths or more: 85 in op10_near_dedup, 80 in the pipeline. The chance that two
 classes share no prefix in any tree is (1 - 0.85 ** 3) ** 24 < 2e-10 at similarity 0.85, (1 - 0.80 ** 3) ** 24 < 4e-8 at
-0.80; that their signatures agree by less than FAMILY is below 6e-13 and 4e-9.
-These bounds leave out NEAR: two classes that share a prefix are no candidates in an order in which NEAR or more others
-stand between them. If that holds in all orders where they share one, they meet only if a chain of candidates that agree
-by FAMILY joins them. How often a dense region has no such chain isn't bounded here, as it depends on the texts.
+0.80; that their signatures agree by less than ALIKE is below 1e-8 and 1e-4. Among n strangers of similarity t a pair
+must share about d = log(n / NEAR) / log(1 / t) values to be neighbours, so that an order misses it with 1 - 0.85 ** d:
+for a million strangers of 0.42 all 24 + 96 orders miss it with less than 2e-5. tests/llm/test_near_dedup.py measures it.
 
-Defined results: a null text or one without words has an empty set, and is linked with nothing; rows that repeat an id
+Defined results: a null text or one without words has an empty set, and is linked with nothing; a very long text is one
+set, in a block of its own if need be; ties (equal signatures) are ordered by the set's digest; rows that repeat an id
 and text share a result; a null id never is a component's id, unless all of its documents have none (then null), and
 such a row is kept if its component has no id; an empty table gives an empty table; further columns are ignored by
 groups(), and kept by deduped(), whatever their names.
@@ -26,6 +31,7 @@ groups(), and kept by deduped(), whatever their names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -35,16 +41,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.llm import shingles as S
-from paperlode.llm.common import cut, fresh, mapped, slices, spark_schema
+from paperlode.llm.common import bounded, cut, fresh, mapped, slices, spark_schema
 from paperlode.llm.graph import components
 
 PERCENT = 85
 TREES, DEPTH, KEY = 24, 3, 8  # KEY: values that an order sorts by
 NEAR = 4
-FAMILY = 0.5
+DEEP, EXTRA, CROWDED = 24, 96, 6
+ALIKE = 0.65
 #: A block has about so many classes, or about so many shingles, at most; a longer text is a block of its own.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
-HASHES = TREES * DEPTH
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 19
+MANY, TURNS = 8, 2
+HASHES = 120
+#: Of the filter that keeps texts without family from being shuffled: bits, and places of each key.
+BITS, PLACES = 1 << 25, 3
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -53,8 +63,9 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n_shingles, set_key, sig): sig holds HASHES big-endian 32-bit values; null without shingles."""
-    fields = [("key", pa.string()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())]
+    """(id, key, n_shingles, set_key, sig, low): sig holds HASHES big-endian 32-bit values, low the lowest byte of each;
+    null without shingles."""
+    fields = [("key", pa.string()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("low", pa.binary())]
     schema = pa.schema([pa.field("x", pa.int64()), *(pa.field(n, t) for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,62 +73,85 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = [S.shingles(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
             keys = [S.set_key(x) if len(x) else None for x in sets]
             sigs = [S.minhash(x, HASHES).astype(">u4").tobytes() if len(x) else None for x in sets]
-            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
+            low = [x and x[3::4] for x in sigs]
+            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs, low))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", *(n for n, _ in fields)])
 
     own = df.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string"))
     return mapped(own, run, spark_schema(own, "id", schema))
 
 
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (tree, prefix, set_key) in sorted order: each row with the next NEAR that share DEPTH values or more."""
-    held: tuple[np.ndarray, list[bytes]] | None = None
+def neighbours(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
+    """Of rows (tree, prefix, set_key) in sorted order: (null, a, b) for each row and the next NEAR that share `depth`
+    values or more, (tree, a, null) for the rows of a bucket, equal in the whole prefix, of more than NEAR rows."""
+    held: tuple[np.ndarray, np.ndarray, list[int], list[bytes]] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        prefixes = [bytes([t]) + p[: 4 * DEPTH] for t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        prefix = np.array(prefixes, f"V{1 + 4 * DEPTH}")
-        keys = batch.column(2).to_pylist()
+        trees, prefixes, keys = (batch.column(i).to_pylist() for i in range(3))
+        part, whole = (np.array([bytes([t]) + p[:n] for t, p in zip(trees, prefixes, strict=True)], f"V{1 + n}") for n in (4 * depth, len(prefixes[0])))
+        begin = 0
         if held:
-            prefix, keys = np.concatenate([held[0], prefix]), held[1] + keys
-        fresh_from = len(held[1]) if held else 0
-        a, b = [], []
-        for d in range(1, NEAR + 1):
-            same = np.flatnonzero(prefix[d:] == prefix[:-d]) if len(keys) > d else np.zeros(0, int)
-            for i in same[same + d >= fresh_from].tolist():
-                x, y = keys[i], keys[i + d]
-                a.append(min(x, y))
-                b.append(max(x, y))
-        held = prefix[-NEAR:], keys[-NEAR:]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
-def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of candidates (a, b, sig_a, sig_b) those whose signatures agree by FAMILY or more."""
+            begin = len(held[3])
+            part, whole, trees, keys = np.concatenate([held[0], part]), np.concatenate([held[1], whole]), held[2] + trees, held[3] + keys
+        rows: list[tuple] = []
+        for d in range(1, min(NEAR, len(keys) - 1) + 1):
+            same = np.flatnonzero(part[d:] == part[:-d])
+            rows.extend((None, *sorted((keys[i], keys[i + d]))) for i in same[same + d >= begin].tolist())
+        if len(keys) > NEAR:
+            full = np.flatnonzero(whole[NEAR:] == whole[:-NEAR])
+            full = full[full + NEAR >= begin]
+            rows.extend((trees[i], keys[i], None) for i in np.union1d(full, full + NEAR).tolist())
+        held = part[-NEAR:], whole[-NEAR:], trees[-NEAR:], keys[-NEAR:]
+        columns = [*zip(*rows, strict=True)] or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["tree", "a", "b"])
+
+
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of candidates (a, b, low_a, low_b): (a, b, whether their signatures agree by ALIKE or more)."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), ">u4").reshape(-1, HASHES) for i in (2, 3))
-            yield batch.filter(pa.array((x == y).mean(axis=1) >= FAMILY)).select([0, 1])
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(axis=1) >= ALIKE)], names=["a", "b", "alike"])
 
 
-def linked(sets: list[np.ndarray], percent: int = PERCENT, columns: int = 4096) -> np.ndarray:
+@functools.cache
+def further() -> np.ndarray:
+    """The values that each further order sorts by."""
+    rng = np.random.default_rng(20_240_102)
+    return np.array([rng.permutation(HASHES)[:DEEP] for _ in range(EXTRA)])
+
+
+def reordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (set_key, sig): (tree, prefix, set_key) for each further order."""
+    for batch in slices(batches, 1, 1 << 18):
+        sigs = [np.frombuffer(x, ">u4")[further()] for x in batch.column(1).to_pylist()]
+        prefix = pa.array([row.tobytes() for x in sigs for row in x], pa.binary())
+        tree = pa.array(np.tile(np.arange(EXTRA), len(sigs)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([tree, prefix, batch.column(0).take(pa.array(np.repeat(np.arange(len(sigs)), EXTRA)))], names=["tree", "prefix", "set_key"])
+
+
+def linked(sets: list[np.ndarray], percent: int = PERCENT, columns: int = 1024) -> np.ndarray:
     """The matrix of links between sets (sorted, without repeats), by the exact sizes of intersections."""
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
     if n == 2:
         both = np.full((2, 2), len(np.intersect1d(*sets, assume_unique=True)), np.int64)
     else:
         _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row, common = np.repeat(np.arange(n), sizes), times[at] > 1  # what one set alone has is in no intersection
-        _, at = np.unique(at[common], return_inverse=True)
-        row, both = row[common], np.zeros((n, n), np.int64)
-        order = np.argsort(at, kind="stable")
+        common = times[at] > 1  # what one set alone has is in no intersection
+        row, at = np.repeat(np.arange(n, dtype=np.int32), sizes)[common], (np.cumsum(times > 1) - 1)[at[common]]
+        order, both = np.argsort(at, kind="stable"), np.zeros((n, n), np.int32)
         at, row = at[order], row[order]
         for start in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
             lo, hi = np.searchsorted(at, (start, start + columns))
             part = np.zeros((n, columns), np.float32)
             part[row[lo:hi], at[lo:hi] - start] = 1
-            both += (part @ part.T).astype(np.int64)
-    return 100 * both >= percent * (sizes[:, None] + sizes - both)
+            both += (part @ part.T).astype(np.int32)
+    out = np.empty((n, n), bool)
+    for i in range(n):
+        own = both[i].astype(np.int64)
+        out[i] = 100 * own >= percent * (sizes[i] + sizes - own)
+    return out
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -154,45 +188,137 @@ def confirmed(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (set_key, family, block, blocks, text): (set_key, family, block, blocks, hashes)."""
-    for batch in slices(batches, 4, 1 << 20):
-        sets = [S.shingles(t or b"") for t in batch.column(4).cast(pa.binary()).to_pylist()]
-        right = pa.array([S.set_key(s) == k for s, k in zip(sets, batch.column(0).to_pylist(), strict=True)])  # rows may share an id
-        own = pa.array([s.tobytes() for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], own], names=["set_key", "family", "block", "blocks", "hashes"]).filter(right)
+def places_of(key: Column) -> Column:
+    h = F.xxhash64(key)
+    return F.array(*(F.pmod(F.shiftrightunsigned(h, 11 * i), F.lit(BITS)) for i in range(PLACES)))
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column `key`: BITS bits, however many keys there are."""
+    bits = keys.select(F.explode(places_of(F.col("key"))).alias("x")).groupBy(F.shiftright("x", 6).alias("word"))
+    rows = bits.agg(F.bit_or(F.expr("shiftleft(1L, CAST(x % 64 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def sets_of(df: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, set_key, hashes) of the rows whose key may be a member's: most other texts end here, before any shuffle."""
+    held = df.sparkSession.sparkContext.broadcast(filter_of(members.select("key")))
+    key = row_key(id_col, text_col)
+    own = df.select(key.alias("key"), places_of(key).alias("places"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            at = batch.column(1).flatten().to_numpy().reshape(-1, PLACES)
+            inside = batch.filter(pa.array(((held.value[at >> 6] >> (at & 63)) & 1).all(axis=1)))
+            for part in slices([inside], 2, 1 << 20):
+                sets = [S.shingles(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
+                keys, hashes = [S.set_key(x) for x in sets], [x.tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(hashes, pa.binary())], names=["key", "set_key", "hashes"])
+
+    return mapped(own, run, "key string, set_key binary, hashes binary")
+
+
+def candidates_of(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (tree, prefix, set_key): judged candidates (a, b, alike), and the crowded (tree, set_key)."""
+    ordered = rows.repartitionByRange("tree", "prefix", "set_key").sortWithinPartitions("tree", "prefix", "set_key")
+    found = cut(mapped(ordered, neighbours, "tree int, a binary, b binary"))
+    low = lambda end: classes.select(F.col("set_key").alias(end), F.col("low").alias(f"low_{end}"))
+    pairs = found.filter("b IS NOT NULL").select("a", "b").distinct().join(low("a"), "a").join(low("b"), "b")
+    crowded = found.filter("b IS NULL").select("tree", F.col("a").alias("set_key")).distinct()
+    return mapped(pairs.select("a", "b", "low_a", "low_b"), judged, "a binary, b binary, alike boolean"), crowded
 
 
 def families(classes: DataFrame) -> DataFrame:
-    """(node, label): the families of two classes and more among rows (set_key, sig)."""
-    order = F.explode(F.array(*(F.struct(F.lit(t).cast("int").alias("tree"), F.substring("ring", 1 + 4 * DEPTH * t, 4 * KEY).alias("prefix")) for t in range(TREES))))
-    trees = classes.select("set_key", F.concat("sig", F.substring("sig", 1, 4 * KEY)).alias("ring")).select(order.alias("o"), "set_key").select("o.tree", "o.prefix", "set_key")
-    ordered = trees.repartitionByRange("tree", "prefix", "set_key").sortWithinPartitions("tree", "prefix", "set_key")
-    candidates = mapped(ordered, neighbours, "a binary, b binary").distinct()
-    sig = lambda end: classes.select(F.col("set_key").alias(end), F.col("sig").alias(f"sig_{end}"))
-    judged = candidates.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
-    return components(mapped(judged, alike, "a binary, b binary"))
+    """(node, label): the families of two classes and more among rows (set_key, sig, low)."""
+    step, width = HASHES // TREES, lambda n: 4 * n
+    ring = classes.select("set_key", F.concat("sig", F.substring("sig", 1, width(DEEP))).alias("ring"))
+    order = F.explode(F.array(*(F.struct(F.lit(t).cast("int").alias("tree"), F.substring("ring", 1 + width(step * t), width(KEY)).alias("prefix")) for t in range(TREES))))
+    pairs, crowded = candidates_of(ring.select(order.alias("o"), "set_key").select("o.tree", "o.prefix", "set_key"), classes)
+    edges = pairs.filter("alike").select("a", "b")
+    if not crowded.isEmpty():
+        prefix = F.expr(f"substring(ring, 1 + {width(step)} * tree, {width(DEEP)})")
+        deeper, _ = candidates_of(crowded.join(ring, "set_key").select("tree", prefix.alias("prefix"), "set_key"), classes)
+        deeper = cut(deeper)
+        ends = deeper.select(F.explode(F.array("a", "b")).alias("set_key"), F.col("alike").cast("int").alias("alike"))
+        strange = ends.groupBy("set_key").agg(F.avg("alike").alias("share")).filter("share < 0.5").select("set_key")
+        often = crowded.groupBy("set_key").count().filter(F.col("count") >= CROWDED).select("set_key")
+        strangers = cut(classes.select("set_key", "sig").join(often, "set_key", "left_semi").join(strange, "set_key", "left_semi"))
+        edges = edges.union(deeper.filter("alike").select("a", "b"))
+        if not strangers.isEmpty():
+            more, _ = candidates_of(mapped(strangers, reordered, "tree int, prefix binary, set_key binary"), classes)
+            edges = edges.union(more.filter("alike").select("a", "b"))
+    return components(edges)
+
+
+def blocks_for(sets: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def compared(dealt: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of links between the sets that share (family, i, j)."""
+    met = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set_key")
+    return mapped(met, lambda batches: confirmed(batches, percent), "a binary, b binary")
 
 
 def links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) that join each group's classes, all of them confirmed on full sets."""
-    member = cut(families(classes.select("set_key", "sig")).withColumnRenamed("node", "set_key").withColumnRenamed("label", "family").join(classes.select("set_key", "key", "n_shingles"), "set_key"))
-    size = cut(member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    placed = member.join(size, "family").withColumn("block", F.pmod(F.hash("set_key"), F.col("blocks")))
-    texts = df.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    chosen = texts.join(placed, "key").select("set_key", "family", "block", "blocks", "text")
-    sets = mapped(chosen, hashed, "set_key binary, family binary, block int, blocks int, hashes binary")
+    named = families(classes.select("set_key", "sig", "low")).withColumnRenamed("node", "set_key").withColumnRenamed("label", "family")
+    member = cut(named.join(classes.select("set_key", "key", "n_shingles"), "set_key"))
+    size = cut(member.groupBy("family").agg(blocks_for(F.count("*"), F.sum("n_shingles")).alias("blocks")))
+    texts = cut(sets_of(df, member, id_col, text_col).join(member.select("key", "set_key", "family"), ["key", "set_key"]).select("set_key", "family", "hashes"))
+    edges, solid = [], None
+    large = size.filter(F.col("blocks") > MANY)
+    if not large.isEmpty():
+        own = texts.join(large, "family")
+        turn = F.explode(F.sequence(F.lit(1), F.lit(TURNS))).alias("turn")
+        dealt = own.select("family", "set_key", "hashes", "blocks", turn).select("family", F.col("turn").alias("i"), F.pmod(F.xxhash64("turn", "set_key"), F.col("blocks")).cast("int").alias("j"), "set_key", "hashes")
+        edges.append(cut(compared(dealt, percent)))
+        joined = components(edges[0]).withColumnRenamed("node", "set_key")
+        solid = cut(member.join(large.select("family"), "family").join(joined, "set_key").select("family", "label", "set_key", "n_shingles"))
+    edges.append(compared(dealt_pairs(texts, member, solid), percent))
+    return functools.reduce(DataFrame.union, edges)
+
+
+def dealt_pairs(texts: DataFrame, member: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """(family, i, j, set_key, hashes): each set in every pair of blocks that has to be compared.
+
+    A family's sets lie in mixed blocks, then in the solid blocks of each label of `joined` (family, label, set_key,
+    n_shingles) that fills half a block or more. Blocks of the same label don't meet.
+    """
+    from pyspark.sql import Window
+
+    spread = lambda n: F.pmod(F.xxhash64("set_key"), F.greatest(n, F.lit(1))).cast("int")
+    none = F.lit(None).cast("binary")
+    if joined is None:
+        labelled = member.select("family", "set_key", "n_shingles", none.alias("label"), F.lit(0).alias("lo"), F.lit(0).alias("own"))
+    else:
+        wide = joined.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+        wide = wide.filter((F.col("n") * 2 >= BLOCK_SETS) | (F.col("shingles") * 2 >= BLOCK_SHINGLES)).select("family", "label", blocks_for(F.col("n"), F.col("shingles")).alias("own"))
+        wide = wide.withColumn("lo", (F.sum("own").over(Window.partitionBy("family").orderBy("label")) - F.col("own")).cast("int"))
+        solid = joined.select("family", "label", "set_key").join(wide, ["family", "label"]).drop("family")
+        labelled = member.select("family", "set_key", "n_shingles").join(solid, "set_key", "left").select("family", "set_key", "n_shingles", "label", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("own", F.lit(0)).alias("own"))
+    loose = F.col("label").isNull()
+    of_label = labelled.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.max("own").alias("own"))
+    sizes = of_label.groupBy("family").agg(F.coalesce(blocks_for(F.sum(F.when(loose, F.col("n"))), F.sum(F.when(loose, F.col("shingles")))), F.lit(0)).alias("mixed"), F.coalesce(F.sum("own"), F.lit(0)).cast("int").alias("solid"))
+    placed = labelled.join(sizes, "family").select(
+        "set_key",
+        F.when(loose, spread(F.col("mixed"))).otherwise(F.col("mixed") + F.col("lo") + spread(F.col("own"))).alias("block"),
+        (F.col("mixed") + F.col("solid")).alias("blocks"),
+        (F.col("mixed") + F.col("lo")).alias("first"),
+        (F.col("mixed") + F.col("lo") + F.col("own")).alias("end"),
+    )
+    at = texts.join(placed, "set_key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = sets.select("family", "block", "blocks", "set_key", "hashes", other).filter("blocks = 1 OR block != other")
-    pairs = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_key", "hashes")
-    met = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set_key")
-    return mapped(met, lambda batches: confirmed(batches, percent), "a binary, b binary")
+    met = at.select("family", "block", "blocks", "first", "end", "set_key", "hashes", other).filter("(blocks = 1 OR block != other) AND NOT (other >= first AND other < end)")
+    return met.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_key", "hashes")
 
 
 def grouped(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """(id, key, n_shingles, component_id)."""
     signed = cut(signatures(df, id_col, text_col))
-    classes = cut(signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("key").alias("key"), F.min("id").alias("first"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies")))
+    classes = cut(signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("key").alias("key"), F.min("id").alias("first"), F.min("sig").alias("sig"), F.min("low").alias("low"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies")))
     label = components(links(df, classes, id_col, text_col, percent)).withColumnRenamed("node", "set_key")
     marked = classes.select("set_key", "first", "copies").join(label, "set_key", "left").filter("copies > 1 OR label IS NOT NULL")
     marked = cut(marked.select("set_key", "first", F.coalesce("label", "set_key").alias("label")))
@@ -211,5 +337,5 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """df's rows and columns, without those that another document of their group stands for."""
     (key,) = fresh(df, "key")
-    gone = grouped(df, id_col, text_col, percent).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias(key)).distinct()
+    gone = bounded(grouped(df, id_col, text_col, percent).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias(key)).distinct())
     return df.withColumn(key, row_key(id_col, text_col)).join(gone, key, "left_anti").select(*df.columns)

@@ -120,8 +120,51 @@ def test_candidates_are_the_next_four():
     """Of classes that share a prefix, also over the ends of batches."""
     keys = [bytes([i]) for i in range(12)]
     batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(ks)), pa.array([b"p" * 32] * len(ks)), pa.array(ks)], names=["tree", "prefix", "set_key"]) for ks in (keys[:5], keys[5:7], keys[7:])]
-    found = [(a, b) for batch in near_dedup.neighbours(iter(batches)) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
-    assert sorted(found) == [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 : i + 5]]
+    found = [r for batch in near_dedup.neighbours(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+    assert sorted((a, b) for _, a, b in found if b is not None) == [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 : i + 5]]
+    assert {(t, a) for t, a, b in found if b is None} == {(0, k) for k in keys}  # more than four share the whole prefix
+
+
+@pytest.mark.parametrize("n", [2000, 6000])
+def test_dense_region(spark, n):
+    """Sets that share a template (similarity 0.42) stay apart, and links between them are found."""
+    rng = np.random.default_rng(n)
+    hashes = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    template, rows, planted = hashes(118), [], []
+
+    def put(own):
+        x = np.unique(np.concatenate([template, own]))
+        sig = shingles.minhash(x, near_dedup.HASHES).astype(">u4").tobytes()
+        rows.append((shingles.set_key(x), sig, sig[3::4]))
+        return rows[-1][0]
+
+    for i in range(n):
+        own = hashes(82)
+        a = put(own)
+        if i % (n // 50) == 0:
+            own = own.copy()
+            own[:15] = hashes(15)  # 185 of 215 are common
+            planted.append((a, put(own)))
+    classes = spark.createDataFrame([tuple(map(bytearray, r)) for r in rows], "set_key binary, sig binary, low binary")
+    family = {bytes(r.node): bytes(r.label) for r in near_dedup.families(classes).collect()}
+    assert sum(a in family and family[a] == family.get(b) for a, b in planted) >= 0.98 * len(planted)
+    assert max(sum(f == x for f in family.values()) for x in set(family.values())) <= 8
+
+
+def test_solid_blocks_do_not_meet(spark, monkeypatch):
+    """A large family whose links are found at random isn't copied to all of its blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 20)
+    member = spark.createDataFrame([(bytearray([i // 256, i % 256]), bytearray(b"f"), f"k{i}", 10) for i in range(400)], "set_key binary, family binary, key string, n_shingles long")
+    texts = member.select("set_key", "family", F.lit(b"x").alias("hashes"))
+    joined = member.filter("set_key < X'0186'").select("family", F.lit(b"one").alias("label"), "set_key", "n_shingles")
+    dealt = near_dedup.dealt_pairs(texts, member, joined).collect()
+    pairs = {}
+    for r in dealt:
+        pairs.setdefault((r.i, r.j), set()).add(bytes(r.set_key))
+    loose = {bytes([i // 256, i % 256]) for i in range(390, 400)}
+    every = {bytes([i // 256, i % 256]) for i in range(400)}
+    assert all(any({a, b} <= x for x in pairs.values()) for a in loose for b in every)
+    assert len(dealt) == 390 + 20 * 10  # 20 blocks of what is joined, which meet the one loose block only
 
 
 def test_rows_of_an_id_go_by_their_text(spark):
