@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlode.packaging import ship
+
 #: White space between words in the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at once; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Spark's limit of an Arrow batch on its way to Python, and its default, which fills direct memory in each task.
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: A table whose values take at most so many bytes, as counted on the written table, is broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -52,17 +56,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYT
 
 
 def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """df.mapInArrow, with this package sent to the executors first: they needn't have it installed."""
-    context = df.sparkSession.sparkContext
-    if not getattr(context, "has_own_package", False):
-        package = Path(__file__).parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"  # the driver serves it from here
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        context.has_own_package = True
-    return df.mapInArrow(function, schema)
+    """df.mapInArrow, with this package sent to the executors first, in batches of bounded bytes; a task gives its
+    memory back when it ends, as Python workers are used again."""
+    ship(df.sparkSession)
+    if df.sparkSession.conf.get(ARROW_BYTES) == ARROW_DEFAULT:
+        df.sparkSession.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def per_text(df: DataFrame, id_col: str, text_col: str, row: Callable[[bytes | None], tuple], fields: list[pa.Field]) -> DataFrame:
@@ -109,9 +119,14 @@ def written(df: DataFrame) -> DataFrame:
 
 def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df as a written table, marked for broadcast if its values take at most `most` bytes; else joins shuffle it."""
+
+    def width(c: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        return F.greatest(F.size(c), F.lit(0)) * 24 + 16 if kind.startswith("array") else F.lit(64 if kind.startswith("struct") else 16)
+
     out = written(df)
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("binary")), F.lit(0)) if kind in ("string", "binary") else F.lit(8)) + 16 for c, kind in out.dtypes)
-    size = out.agg(F.sum(width)).first()[0] or 0
+    size = out.agg(F.sum(sum((width(*c) for c in out.dtypes), F.lit(0)))).first()[0] or 0
     return F.broadcast(out) if size <= most else out
 
 

@@ -4,17 +4,21 @@ A run is a stretch of consecutive lines with MIN_WORDS words or more (lines with
 run, and go with the run around them). Each occurrence of a run but the first goes; the first is the one with the
 smallest id, then place.
 
-1. Winnowing. From each line a window reaches forward until it has MIN_WORDS words, another one backward. The smallest
-   line hash of a window is its fingerprint. Two documents that share a run share whole windows of it, and so their
-   fingerprints: none is missed.
-2. Fingerprints are joined: only windows whose fingerprint stands at two places or more go on.
-3. Such windows meet by a 128-bit hash of their lines. Within a shared run every line lies in a forward or a backward
-   window of the run, so the union of the windows found elsewhere before is the match extended both ways as far as it
-   goes. Each window is held against the first of its kind only; no pairs are made.
-
-The join sides are tables that were cut from their lineage, so that a hot passage's partition can be split at run time.
-
-Defined results: a null text stays null, an empty text empty; rows with equal id and text are one document and are
+1. Winnowing. From each line a window reaches forward until it has MIN_WORDS words, another one backward. The line with a
+   window's smallest hash is its fingerprint, and each such line is a position, however many windows chose it. Two
+   documents that share a run share whole windows of it, and so their fingerprints: none is missed.
+2. Positions are joined by their hash: what stands at one position only ends here, and so does a document without others.
+3. Matches are extended both ways: around the matched positions the windows that chose them, forward and backward, meet
+   by a 128-bit hash of their lines. Within a shared run every line lies in a forward or a backward window of the run, so
+   the union of a document's windows found elsewhere before is the match extended as far as it goes. Each window is held
+   against the first of its kind only; no pairs are made.
+4. Later repeated runs go.
+
+Only hashes of lines move in steps 1 to 3. Join sides are tables of measured size, which are broadcast below a bound;
+above it both sides are shuffled, and a hot passage's partition can be split at run time. The removals are broadcast
+below the same bound, so that texts stay where they are.
+
+Defined results: a null text stays null, an empty text empty; a very long text is one row as any other; rows with equal id and text are one document and are
 treated alike; a null id comes after all others; a text that repeats its own lines keeps the first run whole; an empty
 table gives an empty table; removed() returns its own columns, deduped() keeps all of the table's, whatever their names.
 """
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import WORD, cut, fresh, let
+from paperlode.llm.common import WORD, bounded, cut, fresh, let
 
 MIN_WORDS = 50
 
@@ -35,8 +39,8 @@ def lines_of(text: Column) -> Column:
     return F.filter(each, lambda x: x["n"] > 0)
 
 
-def windows_of(lines: Column, least: int) -> Column:
-    """The windows over the lines, each with its keys and its fingerprint's hash and place."""
+def windows_of(lines: Column, least: int, keys: bool = True) -> Column:
+    """The windows over the lines: the fingerprint's hash and place, and with `keys` each window's ends and two hashes."""
 
     def reach(part: Column) -> Column:
         """How many lines from the start of `part` have `least` words, and how many words they have."""
@@ -45,9 +49,11 @@ def windows_of(lines: Column, least: int) -> Column:
 
     def window(start: Column, n: Column) -> Column:
         part = F.slice(lines, start + 1, n)
-        lowest = F.array_min(F.transform(part, lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"))))
-        fields = lambda x, low: F.struct(x[0]["p"].alias("s"), F.element_at(x, -1)["p"].alias("e"), F.xxhash64(F.transform(x, lambda y: y["h"])).alias("k1"), F.xxhash64(F.transform(x, lambda y: y["g"])).alias("k2"), low["h"].alias("m"), low["p"].alias("at"))
-        return fields(part, lowest)
+        low = F.array_min(F.transform(part, lambda x: F.struct(x["h"].alias("m"), x["p"].alias("at"))))
+        if not keys:
+            return low
+        first, last = F.xxhash64(F.transform(part, lambda y: y["h"])), F.xxhash64(F.transform(part, lambda y: y["g"]))
+        return F.struct(part[0]["p"].alias("s"), F.element_at(part, -1)["p"].alias("e"), first.alias("k1"), last.alias("k2"), low["m"].alias("m"))
 
     def forward(_: Column, j: Column) -> Column:
         return let(reach(F.slice(lines, j + 1, F.lit(least))), lambda r: F.when(r["w"] >= least, window(j, r["n"])))
@@ -63,16 +69,20 @@ def windows_of(lines: Column, least: int) -> Column:
 
 def removals(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(id, h, runs): of each document that loses lines its id, its text's hash and the lost runs of lines, in order."""
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), lines_of(F.col(text_col)).alias("lines"))
-    found = docs.select("id", "h", F.explode(let(F.col("lines"), lambda x: windows_of(x, least))).alias("x")).select("id", "h", "x.*")
-    found = cut(found)
     document = (F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("h").alias("h"))
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), lines_of(F.col(text_col)).alias("lines")).filter(F.size("lines") > 0)
+    docs = cut(docs)
+    marks = docs.select("id", "h", F.explode(F.array_distinct(let(F.col("lines"), lambda x: windows_of(x, least, keys=False)))).alias("x")).select("id", "h", "x.m", "x.at")
+    marks = cut(marks)
     place = F.struct(*document, F.col("at").alias("at"))
-    repeated = found.groupBy("m").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("m")
+    repeated = bounded(marks.groupBy("m").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("m"))
+    touched = bounded(marks.join(repeated, "m", "left_semi").select(F.col("id").alias("id_"), F.col("h").alias("h_")).distinct())
+    chosen = docs.join(touched, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left_semi")
+    found = chosen.select("id", "h", F.explode(let(F.col("lines"), lambda x: windows_of(x, least))).alias("x")).select("id", "h", "x.*")
     likely = cut(found.join(repeated, "m", "left_semi").select("id", "h", "s", "e", "k1", "k2"))
     here = F.struct(*document, F.col("s").alias("s"), F.col("e").alias("e"))
     first = likely.groupBy("k1", "k2").agg(F.min(here).alias("f"), F.max(here).alias("l")).filter("f != l").select("k1", "k2", "f")
-    later = likely.join(cut(first), ["k1", "k2"]).filter(here != F.col("f"))
+    later = likely.join(bounded(first), ["k1", "k2"]).filter(here != F.col("f"))
     own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("h") == F.col("f.h"))
     start = F.when(own, F.greatest("s", F.col("f.e") + 1)).otherwise(F.col("s"))
     gone = later.select("id", "h", start.alias("s"), "e").filter("s <= e").distinct()
@@ -96,7 +106,7 @@ def without(lines: Column, runs: Column) -> Column:
 def applied(df: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, str, str, str]:
     """df with the lines, the runs and the lines that stay, under the names that follow it."""
     h, lines, runs, stay, id_, h_ = fresh(df, "h", "lines", "runs", "stay", "id_of", "h_of")
-    lost = removals(df, id_col, text_col, least).toDF(id_, h_, runs)
+    lost = bounded(removals(df, id_col, text_col, least)).toDF(id_, h_, runs)
     out = df.withColumn(h, F.xxhash64(text_col)).join(lost, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(h_)), "left").drop(id_, h_, h)
     out = out.withColumn(lines, F.split(text_col, "\n", -1))
     out = out.withColumn(stay, F.when(F.col(runs).isNull(), F.col(lines)).otherwise(let(F.col(lines), lambda x: without(x, F.col(runs)))))
