@@ -4,6 +4,7 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,11 +37,45 @@ def test_cut_anywhere_safe(library, codec, text):
     assert codec.decode(np.array(whole, np.uint32)) == text.encode()
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.text(st.sampled_from("abé中"), min_size=1, max_size=200))
-def test_merge_by_heap(codec, text):
-    piece = text.encode()
-    assert codec.merge(piece) == codec.library._encode_single_piece(piece)
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["'", "s", "re", " ", "\u3000", "\n", "中", "é", "1", "٣", "!", "\U0001f600", "l"]), st.sampled_from([1, 1, 2, 300])), max_size=30))
+def test_runs_in_windows(library, codec, runs):
+    """Long matches, contractions at their ends, white space of several kinds."""
+    text = "".join(c * n for c, n in runs)
+    whole = library.encode_ordinary(text)
+    for most in (20, 130):
+        assert codec.encode(text, most).tolist() == whole
+
+
+def test_characters_that_engines_class_differently(library, codec):
+    """Long texts over every code point that another engine classes otherwise, as runs and side by side."""
+    other = {bpe.LETTER: r"\p{L}", bpe.NUMBER: r"\p{N}", bpe.SPACE: r"\s"}
+    differ = []
+    for i in range(0x110000):
+        if not 0xD800 <= i < 0xE000:
+            mine = next((k for k, p in other.items() if regex.match(p, chr(i))), bpe.OTHER)
+            if mine != bpe.classes()[i]:
+                differ.append(chr(i))
+    assert differ
+    text = "".join("中" * 50 + c + "ա՘" for c in differ)
+    assert codec.encode(text, 1000).tolist() == library.encode_ordinary(text)
+    text = "中" * 140_000 + "ա՘" + "中" * 10 + differ[0] * 70_000 + differ[-1] * 70_000
+    assert codec.encode(text).tolist() == library.encode_ordinary(text)
+
+
+def test_very_long_matches(codec):
+    """The library's engine gives up on such white space; one match is one piece, in windows."""
+    text = " " * 2_000_000 + "x" + "中文" * 500_000
+    ids = codec.encode(text)
+    assert codec.decode(ids) == text.encode()
+    assert ids.tolist() == [*codec.whole(" " * 1_999_999).tolist(), *codec.library.encode_ordinary(" x" + "中文" * 500_000)]
+
+
+def test_another_pattern_takes_whole_texts(library):
+    with open(FILE, "rb") as f:
+        own = bpe.codec(f.read(), r"\w+|\W+")
+    text = "ab  cd" * 20_000
+    assert own.encode(text, 100).tolist() == own.library.encode_ordinary(text)
 
 
 def test_decode_keeps_broken_characters(spark, codec):
