@@ -3,13 +3,15 @@
 1. Equal shingle sets are one class from here on, so copies never make pairs.
 2. Forest: TREES sorted orders of the signature, each beginning at other MinHash values. In each order a class's
    candidates are its next NEAR neighbours that share a prefix of DEPTH values or more: neighbours in sorted order have
-   the longest common prefixes. The orders are made by range partitioning, which splits any region between tasks.
+   the longest common prefixes. The orders are made by range partitioning, which splits any region between tasks. A row
+   carries four bits of each MinHash value, so candidates are judged where they meet and no pair is ever shuffled: those
+   whose signatures agree by ALIKE or more are edges, of which each batch returns a spanning forest.
 3. The depth follows the region. Where more than NEAR neighbours share all KEY values of an order, the region is crowded:
    its rows alone are sorted anew by DEEP values. A class that is crowded in CROWDED orders or more, mostly by strangers
-   (classes whose signatures agree by less than ALIKE), is sorted in EXTRA further orders, as at a greater depth each
-   order finds a link more rarely. So the work grows with the number of classes, however many share a page's template.
-4. Candidates whose signatures agree by ALIKE or more make edges; their components are families. Linked classes are in
-   one family though they are no neighbours, if a chain of candidates joins them.
+   (classes that aren't alike), is sorted in EXTRA further orders, as at a greater depth each order finds a link more
+   rarely. So the work grows with the number of classes, however many share a page's template.
+4. The components of these edges are families. Linked classes are in one family though they are no neighbours, if a chain
+   of edges joins them.
 5. Within a family of at most MANY blocks every two classes are compared on full sets: sets meet in blocks of bounded
    size, a task for each two blocks, and each task returns no more edges than it has classes (a spanning forest of the
    links it found). A larger family is first dealt at random into blocks TURNS times, and each block is compared in
@@ -48,7 +50,7 @@ PERCENT = 85
 TREES, DEPTH, KEY = 24, 3, 8  # KEY: values that an order sorts by
 NEAR = 4
 DEEP, EXTRA, CROWDED = 24, 96, 6
-ALIKE = 0.65
+ALIKE = 0.65  # a similarity; values of four bits agree by chance in one case of 16
 #: A block has about so many classes, or about so many shingles, at most; a longer text is a block of its own.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 19
 MANY, TURNS = 8, 2
@@ -62,9 +64,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
+def low_bits(sig: bytes) -> bytes:
+    x = np.frombuffer(sig, np.uint8)[3::4] & 15
+    return (x[::2] << 4 | x[1::2]).tobytes()
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n_shingles, set_key, sig, low): sig holds HASHES big-endian 32-bit values, low the lowest byte of each;
-    null without shingles."""
+    """(id, key, n_shingles, set_key, sig, low): sig holds HASHES big-endian 32-bit values, low the lowest four bits of
+    each; null without shingles."""
     fields = [("key", pa.string()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("low", pa.binary())]
     schema = pa.schema([pa.field("x", pa.int64()), *(pa.field(n, t) for n, t in fields)])
 
@@ -73,7 +80,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = [S.shingles(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
             keys = [S.set_key(x) if len(x) else None for x in sets]
             sigs = [S.minhash(x, HASHES).astype(">u4").tobytes() if len(x) else None for x in sets]
-            low = [x and x[3::4] for x in sigs]
+            low = [x and low_bits(x) for x in sigs]
             columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs, low))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", *(n for n, _ in fields)])
 
@@ -81,38 +88,60 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return mapped(own, run, spark_schema(own, "id", schema))
 
 
+def forest_of(pairs: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """The pairs that join what earlier ones haven't joined."""
+    up: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for a, b in pairs:
+        if (x := top(a)) != (y := top(b)):
+            up[y] = x
+            out.append((a, b))
+    return out
+
+
 def neighbours(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
-    """Of rows (tree, prefix, set_key) in sorted order: (null, a, b) for each row and the next NEAR that share `depth`
-    values or more, (tree, a, null) for the rows of a bucket, equal in the whole prefix, of more than NEAR rows."""
-    held: tuple[np.ndarray, np.ndarray, list[int], list[bytes]] | None = None
+    """Of rows (tree, prefix, set_key, low) in sorted order: edges (null, a, b, null) between alike ones of each row and the
+    next NEAR that share `depth` values or more; (tree, a, null, strange) for the rows of a bucket, equal in the whole
+    prefix, of more than NEAR rows: whether most of its neighbours aren't alike."""
+    least = HASHES * (ALIKE + (1 - ALIKE) / 16)
+    held: pa.RecordBatch | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        trees, prefixes, keys = (batch.column(i).to_pylist() for i in range(3))
+        begin = held.num_rows if held else 0
+        rows = pa.Table.from_batches([held, batch] if held else [batch]).combine_chunks().to_batches()[0]
+        held = rows.slice(max(0, rows.num_rows - NEAR))
+        trees, prefixes, keys, lows = (c.to_pylist() for c in rows.columns)
         part, whole = (np.array([bytes([t]) + p[:n] for t, p in zip(trees, prefixes, strict=True)], f"V{1 + n}") for n in (4 * depth, len(prefixes[0])))
-        begin = 0
-        if held:
-            begin = len(held[3])
-            part, whole, trees, keys = np.concatenate([held[0], part]), np.concatenate([held[1], whole]), held[2] + trees, held[3] + keys
-        rows: list[tuple] = []
+        low = np.frombuffer(b"".join(lows), np.uint8).reshape(len(keys), -1)
+        near, alike, pairs, crowded = np.zeros(len(keys), int), np.zeros(len(keys), int), [], np.zeros(0, int)
         for d in range(1, min(NEAR, len(keys) - 1) + 1):
             same = np.flatnonzero(part[d:] == part[:-d])
-            rows.extend((None, *sorted((keys[i], keys[i + d]))) for i in same[same + d >= begin].tolist())
-        if len(keys) > NEAR:
-            full = np.flatnonzero(whole[NEAR:] == whole[:-NEAR])
-            full = full[full + NEAR >= begin]
-            rows.extend((trees[i], keys[i], None) for i in np.union1d(full, full + NEAR).tolist())
-        held = part[-NEAR:], whole[-NEAR:], trees[-NEAR:], keys[-NEAR:]
-        columns = [*zip(*rows, strict=True)] or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["tree", "a", "b"])
-
-
-def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of candidates (a, b, low_a, low_b): (a, b, whether their signatures agree by ALIKE or more)."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(axis=1) >= ALIKE)], names=["a", "b", "alike"])
+            differ = low[same] ^ low[same + d]
+            close = HASHES - (differ & 15 != 0).sum(axis=1) - (differ >> 4 != 0).sum(axis=1) >= least
+            for i, j, n in ((same, near, 1), (same + d, near, 1), (same[close], alike, 1), (same[close] + d, alike, 1)):
+                np.add.at(j, i, n)
+            some = same[close & (same + d >= begin)]
+            pairs.extend((keys[i], keys[i + d]) for i in some.tolist())
+            if d == NEAR:
+                full = np.flatnonzero(whole[d:] == whole[:-d])
+                full = full[full + d >= begin]
+                crowded = np.union1d(full, full + d)
+        found = forest_of(pairs)
+        strange = (2 * alike < near)[crowded].tolist()
+        columns = [
+            pa.array([None] * len(found) + [trees[i] for i in crowded.tolist()], pa.int32()),
+            pa.array([a for a, _ in found] + [keys[i] for i in crowded.tolist()], pa.binary()),
+            pa.array([b for _, b in found] + [None] * len(crowded), pa.binary()),
+            pa.array([None] * len(found) + strange, pa.bool_()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["tree", "a", "b", "strange"])
 
 
 @functools.cache
@@ -123,12 +152,13 @@ def further() -> np.ndarray:
 
 
 def reordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (set_key, sig): (tree, prefix, set_key) for each further order."""
+    """Of rows (set_key, sig, low): (tree, prefix, set_key, low) for each further order."""
     for batch in slices(batches, 1, 1 << 18):
         sigs = [np.frombuffer(x, ">u4")[further()] for x in batch.column(1).to_pylist()]
         prefix = pa.array([row.tobytes() for x in sigs for row in x], pa.binary())
-        tree = pa.array(np.tile(np.arange(EXTRA), len(sigs)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([tree, prefix, batch.column(0).take(pa.array(np.repeat(np.arange(len(sigs)), EXTRA)))], names=["tree", "prefix", "set_key"])
+        tree = pa.array(np.tile(np.arange(TREES, TREES + EXTRA), len(sigs)).astype(np.int32))
+        own = pa.array(np.repeat(np.arange(len(sigs)), EXTRA))
+        yield pa.RecordBatch.from_arrays([tree, prefix, batch.column(0).take(own), batch.column(2).take(own)], names=["tree", "prefix", "set_key", "low"])
 
 
 def linked(sets: list[np.ndarray], percent: int = PERCENT, columns: int = 1024) -> np.ndarray:
@@ -220,35 +250,28 @@ def sets_of(df: DataFrame, members: DataFrame, id_col: str, text_col: str) -> Da
     return mapped(own, run, "key string, set_key binary, hashes binary")
 
 
-def candidates_of(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (tree, prefix, set_key): judged candidates (a, b, alike), and the crowded (tree, set_key)."""
-    ordered = rows.repartitionByRange("tree", "prefix", "set_key").sortWithinPartitions("tree", "prefix", "set_key")
-    found = cut(mapped(ordered, neighbours, "tree int, a binary, b binary"))
-    low = lambda end: classes.select(F.col("set_key").alias(end), F.col("low").alias(f"low_{end}"))
-    pairs = found.filter("b IS NOT NULL").select("a", "b").distinct().join(low("a"), "a").join(low("b"), "b")
-    crowded = found.filter("b IS NULL").select("tree", F.col("a").alias("set_key")).distinct()
-    return mapped(pairs.select("a", "b", "low_a", "low_b"), judged, "a binary, b binary, alike boolean"), crowded
+def candidates_of(rows: DataFrame) -> DataFrame:
+    """Of rows (tree, prefix, set_key, low) what neighbours() finds, cut from its lineage."""
+    ordered = rows.select("tree", "prefix", "set_key", "low").repartitionByRange("tree", "prefix", "set_key").sortWithinPartitions("tree", "prefix", "set_key")
+    return cut(mapped(ordered, neighbours, "tree int, a binary, b binary, strange boolean"))
 
 
 def families(classes: DataFrame) -> DataFrame:
     """(node, label): the families of two classes and more among rows (set_key, sig, low)."""
     step, width = HASHES // TREES, lambda n: 4 * n
-    ring = classes.select("set_key", F.concat("sig", F.substring("sig", 1, width(DEEP))).alias("ring"))
+    ring = classes.select("set_key", "low", F.concat("sig", F.substring("sig", 1, width(DEEP))).alias("ring"))
     order = F.explode(F.array(*(F.struct(F.lit(t).cast("int").alias("tree"), F.substring("ring", 1 + width(step * t), width(KEY)).alias("prefix")) for t in range(TREES))))
-    pairs, crowded = candidates_of(ring.select(order.alias("o"), "set_key").select("o.tree", "o.prefix", "set_key"), classes)
-    edges = pairs.filter("alike").select("a", "b")
+    found = candidates_of(ring.select(order.alias("o"), "set_key", "low").select("o.*", "set_key", "low"))
+    edges = found.filter("b IS NOT NULL").select("a", "b")
+    crowded = found.filter("b IS NULL").select(F.col("a").alias("set_key"), "tree", "strange").distinct()
     if not crowded.isEmpty():
-        prefix = F.expr(f"substring(ring, 1 + {width(step)} * tree, {width(DEEP)})")
-        deeper, _ = candidates_of(crowded.join(ring, "set_key").select("tree", prefix.alias("prefix"), "set_key"), classes)
-        deeper = cut(deeper)
-        ends = deeper.select(F.explode(F.array("a", "b")).alias("set_key"), F.col("alike").cast("int").alias("alike"))
-        strange = ends.groupBy("set_key").agg(F.avg("alike").alias("share")).filter("share < 0.5").select("set_key")
-        often = crowded.groupBy("set_key").count().filter(F.col("count") >= CROWDED).select("set_key")
-        strangers = cut(classes.select("set_key", "sig").join(often, "set_key", "left_semi").join(strange, "set_key", "left_semi"))
-        edges = edges.union(deeper.filter("alike").select("a", "b"))
-        if not strangers.isEmpty():
-            more, _ = candidates_of(mapped(strangers, reordered, "tree int, prefix binary, set_key binary"), classes)
-            edges = edges.union(more.filter("alike").select("a", "b"))
+        share = F.avg(F.col("strange").cast("int"))
+        often = crowded.groupBy("set_key").agg(F.count_distinct("tree").alias("n"), share.alias("share")).filter((F.col("n") >= CROWDED) & (F.col("share") > 0.5))
+        strangers = classes.select("set_key", "sig", "low").join(often.select("set_key"), "set_key", "left_semi")
+        prefix = F.expr(f"substring(ring, 1 + {width(step)} * tree, {width(DEEP)})").alias("prefix")
+        deeper = crowded.select("set_key", "tree").distinct().join(ring, "set_key").select("tree", prefix, "set_key", "low")
+        again = candidates_of(deeper.union(mapped(strangers, reordered, "tree int, prefix binary, set_key binary, low binary")))
+        edges = edges.union(again.filter("b IS NOT NULL").select("a", "b"))
     return components(edges)
 
 

@@ -116,13 +116,24 @@ def test_odd_rows(spark):
     assert near_dedup.groups(df.limit(0)).count() == 0 and near_dedup.deduped(df.limit(0)).count() == 0
 
 
-def test_candidates_are_the_next_four():
+def test_candidates_are_the_next_four(monkeypatch):
     """Of classes that share a prefix, also over the ends of batches."""
     keys = [bytes([i]) for i in range(12)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(ks)), pa.array([b"p" * 32] * len(ks)), pa.array(ks)], names=["tree", "prefix", "set_key"]) for ks in (keys[:5], keys[5:7], keys[7:])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(ks)), pa.array([b"p" * 32] * len(ks)), pa.array(ks), pa.array([bytes([k[0]] * 60) for k in ks])], names=["tree", "prefix", "set_key", "low"]) for ks in (keys[:5], keys[5:7], keys[7:])]
+    judged = []
+    monkeypatch.setattr(near_dedup, "ALIKE", -1)  # all are alike
+    monkeypatch.setattr(near_dedup, "forest_of", lambda pairs: judged.extend(pairs) or pairs)
     found = [r for batch in near_dedup.neighbours(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns))]
-    assert sorted((a, b) for _, a, b in found if b is not None) == [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 : i + 5]]
-    assert {(t, a) for t, a, b in found if b is None} == {(0, k) for k in keys}  # more than four share the whole prefix
+    assert sorted(judged) == sorted((a, b) for _, a, b, _ in found if b is not None) == [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 : i + 5]]
+    assert {(t, a, s) for t, a, b, s in found if b is None} == {(0, k, False) for k in keys}  # more than four share the whole prefix
+    monkeypatch.setattr(near_dedup, "ALIKE", 0.65)
+    found = [r for batch in near_dedup.neighbours(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+    assert {(t, a, s) for t, a, b, s in found if b is None} == {(0, k, True) for k in keys} and all(b is None for _, _, b, _ in found)
+
+
+def test_spanning_forest():
+    pairs = [(b"a", b"b"), (b"c", b"d"), (b"b", b"a"), (b"b", b"d"), (b"a", b"c"), (b"e", b"e")]
+    assert near_dedup.forest_of(pairs) == [(b"a", b"b"), (b"c", b"d"), (b"b", b"d")]
 
 
 @pytest.mark.parametrize("n", [2000, 6000])
@@ -135,7 +146,7 @@ def test_dense_region(spark, n):
     def put(own):
         x = np.unique(np.concatenate([template, own]))
         sig = shingles.minhash(x, near_dedup.HASHES).astype(">u4").tobytes()
-        rows.append((shingles.set_key(x), sig, sig[3::4]))
+        rows.append((shingles.set_key(x), sig, near_dedup.low_bits(sig)))
         return rows[-1][0]
 
     for i in range(n):
