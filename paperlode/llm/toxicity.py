@@ -1,15 +1,22 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting takes a bounded sample of labelled rows (MOST of each class). Terms are words and prefixes of words; those that
-tell the classes apart best on the sample (chi-square), being LEAST_RATIO times likelier in class 1, are the vocabulary.
-Document frequencies are counted over all documents. The examples' vectors are an inverted index whose postings lie in blocks of examples; for each block and term
-the largest weight is kept. A text's blocks are visited by their upper bounds until no other block can hold a better
-neighbour, so the nearest NEAREST are exact. They vote with their cosines, and a logistic curve, fitted on the examples
-with each one left out of its own vote, turns votes into calibrated scores. The evidence names the neighbours.
-
-Defined results: a null or empty text, or one without terms of the vocabulary, has no neighbours and gets the score of
-no votes; without labelled rows of both classes every score is the share of class 1; ties between neighbours go to the
-smaller place in the index; a repeated row is scored alike; a null id isn't held out; further columns are ignored.
+Fitting takes a bounded sample of labelled rows: MOST of each class, whole texts. All terms of the examples are terms of
+the index: words, prefixes of longer words, and prefixes that are frequent in their text. A term weighs
+(1 + log tf) * idf * relevance. Document frequencies are counted over all documents; a term's relevance is the likelihood
+ratio statistic of its occurrence against the examples' labels, so that words of both classes hardly count, but none is
+left out. The examples' unit vectors are sparse postings; for each term and block of BLOCK examples the largest weight is
+kept. Of a text's terms those with short postings come first; blocks' largest weights bound what the others can add, and
+only examples that can still be among the nearest NEAREST get their full cosine, so the neighbours are exact.
+
+The neighbours vote with their cosines. A logistic curve turns votes into calibrated scores; it is fitted on the examples'
+votes, each cast by examples of the other INNER - 1 of INNER folds with relevances of those folds. The evidence names the
+neighbours.
+
+Defined results: a null or empty text, or one without terms of the examples, has no neighbours and gets the score of no
+votes; a very long text is scored by all of its terms; without labelled rows of both classes, or in empty tables, every
+score is the share of class 1; ties between neighbours go to the smaller place in the index, which follows id and text; a
+repeated row is scored alike; a row labelled both ways counts as class 1; a null id isn't held out; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +34,15 @@ from paperlode.llm.common import mapped, per_text, slices
 from paperlode.llm.licenses import TO_WORDS
 
 FOLDS, FOLD = 5, 0
-#: Bounds of the fit: examples of each class; terms.
-MOST, TERMS = 4000, 512
-LEAST_EXAMPLES, LEAST_CHI, LEAST_RATIO = 4, 25.0, 4
+#: Bound of the fit: examples of each class.
+MOST = 2000
 PREFIX = 5  # bytes
 #: A prefix is frequent in a text that has it so often, and once in so many words or more.
 FREQUENT, PER = 2, 100
 NEAREST, BLOCK = 15, 64
+#: Terms of longer postings wait until bounds have been computed.
+SHORT = (1024,)
+INNER = 4
 SHOWN = 3
 
 
@@ -52,152 +61,177 @@ def terms(text: bytes | None) -> Counter:
     return out
 
 
+def spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers of many spans, one after another, and the span that each is from."""
+    n = stop - start
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) - (np.cumsum(n) - n - start)[which], which
+
+
+class Examples:
+    """Rows of term numbers and counts: of row i the places starts[i] to starts[i + 1]."""
+
+    def __init__(self, texts: list[bytes]):
+        self.vocabulary: dict[bytes, int] = {}
+        term, count, starts = [], [], [0]
+        for text in texts:
+            own = terms(text)
+            term.append(np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in own], np.int64))
+            count.append(np.array([*own.values()], np.int64))
+            starts.append(starts[-1] + len(own))
+        self.starts = np.array(starts)
+        self.term, self.count = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (term, count))
+        self.row = np.repeat(np.arange(len(texts)), np.diff(self.starts))
+
+    def relevance(self, labels: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Of each term: twice the log likelihood ratio of its occurrence in class 1 and 0, among the chosen rows."""
+        own = rows[self.row]
+        m = np.bincount(self.term[own], minlength=len(self.vocabulary)).astype(float)
+        a = np.bincount(self.term[own], weights=labels[self.row[own]], minlength=len(self.vocabulary))
+        share = labels[rows].mean()
+        part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(e, 1e-9)), 0)
+        return np.maximum(2 * (part(a, m * share) + part(m - a, m * (1 - share))), 0)
+
+
 class Index:
-    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, ids: list, labels: np.ndarray, vectors: list[dict[int, float]]):
-        self.vocabulary, self.idf, self.ids, self.labels = vocabulary, idf, ids, labels
-        self.slope, self.bias = 0.0, 0.0
-        n_blocks = max(1, -(-len(ids) // BLOCK))
-        #: The postings of term t in block b are the tile postings[t, b], a weight for each example of the block.
-        self.postings = np.zeros((len(vocabulary), n_blocks, BLOCK), np.float32)
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                self.postings[t, i // BLOCK, i % BLOCK] = w
-        self.block_max = self.postings.max(axis=2)
-        self.seen: dict[tuple, tuple] = {}
-
-    @staticmethod
-    def vector(counts: Counter, vocabulary: dict[bytes, int], idf: np.ndarray) -> dict[int, float]:
-        found = {vocabulary[t]: n for t, n in counts.items() if t in vocabulary}
-        raw = {t: (1 + np.log(n)) * idf[t] for t, n in found.items()}
-        norm = float(np.sqrt(sum(w * w for w in raw.values()))) or 1.0
-        return {t: float(w / norm) for t, w in sorted(raw.items())}
-
-    def nearest(self, vector: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0, the nearest first."""
-        if not vector:
-            return np.zeros(0, int), np.zeros(0, np.float32)
-        at, q = np.fromiter(vector, int), np.fromiter(vector.values(), np.float32)
-        bounds = q @ self.block_max[at]
-        order = np.argsort(-bounds, kind="stable")
-        places, scores, step = np.zeros(0, int), np.zeros(0, np.float32), 4
-        for start in range(0, len(order), step):
-            blocks = order[start : start + step]
+    """The rows of `examples` that are chosen, as block-max postings of unit vectors."""
+
+    def __init__(self, examples: Examples, labels: np.ndarray, rows: np.ndarray, idf: np.ndarray):
+        self.vocabulary, self.places, self.labels = examples.vocabulary, np.flatnonzero(rows), labels[rows]
+        self.weight = (idf * examples.relevance(labels, rows)).astype(np.float64)
+        at, _ = spans(examples.starts[:-1][rows], examples.starts[1:][rows])
+        self.term = examples.term[at]
+        doc = np.repeat(np.arange(len(self.places)), np.diff(examples.starts)[rows])
+        self.starts = np.concatenate([[0], np.cumsum(np.diff(examples.starts)[rows])])
+        raw = (1 + np.log(examples.count[at])) * self.weight[self.term]
+        norm = np.sqrt(np.bincount(doc, weights=raw * raw, minlength=len(self.places)))
+        self.value = (raw / np.where(norm > 0, norm, 1)[doc]).astype(np.float32)
+        order = np.lexsort((doc, self.term))
+        term, self.doc, self.posted = self.term[order], doc[order], self.value[order].astype(np.float64)
+        self.lists = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
+        n_blocks = -(-len(self.places) // BLOCK)
+        key = term * n_blocks + self.doc // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block = (key[first] % max(1, n_blocks)).astype(np.int32)
+        self.highest = np.maximum.reduceat(self.posted, first) if len(first) else np.zeros(0, np.float32)
+        self.block_lists = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
+        self.slope, self.bias = 1.0, 0.0
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers, in order, and weights of unit length."""
+        own = self.vocabulary
+        at, n = np.array([(own[t], n) for t, n in counts.items() if t in own], np.int64).reshape(-1, 2).T
+        order = np.argsort(at)
+        at = at[order]
+        raw = (1 + np.log(n[order])) * self.weight[at]
+        some = raw > 0
+        norm = np.sqrt((raw * raw).sum())
+        return at[some], raw[some] / (norm or 1)
+
+    def nearest(self, at: np.ndarray, q: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples with a cosine above 0, the nearest first."""
+        n, length = len(self.places), self.lists[at + 1] - self.lists[at]
+        scores, chosen, least = np.zeros(n), np.arange(n), 0
+        for short in (*SHORT, n + 1):
+            now, rest = (length >= least) & (length < short), length >= short
+            least = short
+            lists = [slice(*x) for x in zip(self.lists[at[now]].tolist(), self.lists[at[now] + 1].tolist(), strict=True)]
+            if lists:
+                doc, posted = np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.posted[x] for x in lists])
+                scores += np.bincount(doc, weights=posted * np.repeat(q[now], length[now]), minlength=n)
+            if not rest.any():
+                break
+            place, which = spans(self.block_lists[at[rest]], self.block_lists[at[rest] + 1])
+            bound = np.bincount(self.block[place], weights=self.highest[place] * q[rest][which], minlength=-(-n // BLOCK))
+            kth = np.partition(scores, n - k)[n - k] if n > k else 0.0
             # a margin for the rounding of sums in another order
-            if len(scores) >= k and bounds[blocks[0]] * 1.0001 < scores[-1] or bounds[blocks[0]] <= 0:
+            some = np.flatnonzero(scores + 1.0001 * bound[chosen // BLOCK] + 1e-6 >= kth)
+            if len(some) <= 4 * k:
+                chosen, scores = some, self.cosines(at, q, some)
                 break
-            fresh = np.einsum("t,tbi->bi", q, self.postings[at[:, None], blocks]).reshape(-1)
-            places = np.concatenate([places, (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)])
-            scores = np.concatenate([scores, fresh])
-            best = np.lexsort((places, -scores))[:k]
-            places, scores = places[best], scores[best]
-        some = scores > 0
-        return places[some], scores[some]
-
-    def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
+        scores = np.round(scores, 6)
+        best = np.lexsort((chosen, -scores))[:k]
+        best = best[scores[best] > 0]
+        return chosen[best], scores[best]
+
+    def cosines(self, at: np.ndarray, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The whole cosines of some rows."""
+        place, which = spans(self.starts[rows], self.starts[rows + 1])
+        where = np.minimum(np.searchsorted(at, self.term[place]), len(at) - 1)
+        return np.bincount(which, weights=self.value[place] * np.where(at[where] == self.term[place], q[where], 0), minlength=len(rows))
+
+    def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
         """The mean of 1 or -1 by the neighbours' labels, weighted by cosine; half a neighbour of cosine 1 votes 0."""
-        return float(((2.0 * self.labels[places] - 1) * scores).sum() / (scores.sum() + 0.5))
-
-    def scored(self, text: bytes | None) -> tuple[float, str]:
-        vector = self.vector(terms(text), self.vocabulary, self.idf)
-        key = tuple(vector.items())
-        if key not in self.seen:
-            places, scores = self.nearest(vector, NEAREST)
-            if len(self.seen) > 10_000:
-                self.seen.clear()
-            p = 1 / (1 + np.exp(-np.clip(self.slope * self.vote(places, scores) + self.bias, -30, 30)))
-            shown = ",".join(f"{self.ids[i]}:{self.labels[i]}:{s:.3f}" for i, s in zip(places[:SHOWN].tolist(), scores.tolist(), strict=False))
-            self.seen[key] = round(float(p), 6), shown
-        return self.seen[key]
-
-    def calibrate(self, vectors: list[dict[int, float]], share: float) -> None:
-        """Fits the logistic curve; the classes weigh as they do among all labelled rows."""
-        votes = np.zeros(len(vectors))
-        for i, v in enumerate(vectors):
-            places, scores = self.nearest(v, NEAREST + 1)
-            others = places != i
-            votes[i] = self.vote(places[others][:NEAREST], scores[others][:NEAREST])
-        y = self.labels.astype(float)
-        weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-        x, theta = np.stack([votes, np.ones(len(y))], axis=1), np.array([1.0, np.log(share / (1 - share))])
-        for _ in range(50):  # Newton's steps with a weak pull to 0
-            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            gradient = x.T @ (weight * (p - y)) + 1e-2 * theta
-            hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-            theta = theta - np.clip(np.linalg.solve(hessian, gradient), -2, 2)
-        self.slope, self.bias = map(float, theta)
-
-
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text, y): (term, class 1's examples with it, all examples with it), summed over a slice."""
-    for batch in slices(batches, 1):
-        ones: Counter = Counter()
-        every: Counter = Counter()
-        for text, y in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            own = terms(text).keys()
-            every.update(own)
-            if y:
-                ones.update(own)
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([ones[t] for t in every], pa.int64()), pa.array(every.values(), pa.int64())], names=["term", "ones", "n"])
-
-
-def vocabulary_of(examples: DataFrame) -> list[bytes]:
-    """At most TERMS terms, by chi-square."""
-    p, n = (examples.filter(F.col("y") == y).count() for y in (1, 0))
-    if not p or not n:
-        return []
-    sums = mapped(examples.select("doc_id", "text", "y"), counted, "term binary, ones long, n long").groupBy("term").agg(F.sum("ones").alias("a"), F.sum("n").alias("m"))
-    b, c = F.col("m") - F.col("a"), F.lit(p) - F.col("a")
-    d = F.lit(n) - b
-    odds = (F.col("a") * d - b * c).cast("double")
-    chi = (p + n) * odds * odds / (F.col("m").cast("double") * (c + d) * p * n)
-    best = sums.filter((F.col("m") >= LEAST_EXAMPLES) & (c + d > 0) & (F.col("a") * (n + 1) >= LEAST_RATIO * p * (b + 0.5))).select("term", chi.alias("chi")).filter(F.col("chi") >= LEAST_CHI)
-    return [bytes(r.term) for r in best.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+        return float(((2.0 * self.labels[rows] - 1) * scores).sum() / (scores.sum() + 0.5))
+
+    def scored(self, text: bytes | None, ids: list) -> tuple[float, str]:
+        rows, scores = self.nearest(*self.vector(terms(text)))
+        p = 1 / (1 + np.exp(-np.clip(self.slope * self.vote(rows, scores) + self.bias, -30, 30)))
+        shown = ",".join(f"{ids[self.places[i]]}:{self.labels[i]}:{s:.3f}" for i, s in zip(rows[:SHOWN].tolist(), scores.tolist(), strict=False))
+        return round(float(p), 6), shown
+
+
+def logistic(votes: np.ndarray, labels: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and bias of the curve that fits best; the classes weigh as they do among all labelled rows."""
+    y = labels.astype(float)
+    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
+    x, theta = np.stack([votes, np.ones(len(y))], axis=1), np.array([1.0, np.log(share / (1 - share))])
+    for _ in range(50):  # Newton's steps with a weak pull to 0
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        gradient = x.T @ (weight * (p - y)) + 1e-2 * theta
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        theta = theta - np.clip(np.linalg.solve(hessian, gradient), -2, 2)
+    return float(theta[0]), float(theta[1])
+
+
+def fitted(texts: list[bytes], labels: np.ndarray, frequencies, share: float) -> Index:
+    """The index over all examples, calibrated. frequencies(vocabulary): (documents with each term, documents)."""
+    examples = Examples(texts)
+    found, n = frequencies(examples.vocabulary)
+    idf = np.log((1 + n) / (1 + found)) + 1
+    votes, fold = np.zeros(len(labels)), np.arange(len(labels)) % INNER
+    for f in range(INNER):
+        others = fold != f
+        if 0 < labels[others].sum() < others.sum():
+            index = Index(examples, labels, others, idf)
+            for i in np.flatnonzero(~others).tolist():
+                votes[i] = index.vote(*index.nearest(*index.vector(terms(texts[i]))))
+    index = Index(examples, labels, np.ones(len(labels), bool), idf)
+    index.slope, index.bias = logistic(votes, labels, min(max(share, 1e-6), 1 - 1e-6))
+    return index
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """How many of all documents have each term, and how many documents there are."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(vocabulary), np.int64), 0
+        counts, n = np.zeros(len(held.value), np.int64), 0
         for batch in slices(batches, 0):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 n += 1
-                for t in terms(text).keys() & vocabulary.keys():
-                    counts[vocabulary[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(counts))), pa.array(np.concatenate([[n], counts]))], names=["at", "n"])
+                counts[[held.value[t] for t in terms(text).keys() & held.value.keys()]] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], counts[at]]))], names=["at", "n"])
 
-    rows = mapped(docs.select(F.col("text").cast("string")), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    found = {r.at: r.n for r in rows}
-    return np.array([found.get(i, 0) for i in range(len(vocabulary))], np.float64), int(found.get(-1, 0))
-
-
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Index, float]:
-    examples, share = labelled.sample(docs, labels, "toxic", FOLDS, FOLD, MOST)
-    vocabulary = {t: i for i, t in enumerate(vocabulary_of(examples))}
-    frequencies, n = document_frequencies(docs, vocabulary) if vocabulary else (np.zeros(0), 0)
-    idf = np.log((1 + n) / (1 + frequencies)) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            vectors = [Index.vector(terms(t), vocabulary, idf) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[*v] for v in vectors], pa.list_(pa.int32())), pa.array([[*v.values()] for v in vectors], pa.list_(pa.float64()))], names=["doc_id", "y", "t", "w"])
-
-    rows = sorted(mapped(examples.select(F.col("doc_id").cast("long"), "text", "y"), run, "doc_id long, y int, t array<int>, w array<double>").collect(), key=lambda r: r.doc_id) if vocabulary else []
-    vectors = [dict(zip(r.t, r.w, strict=True)) for r in rows]
-    index = Index(vocabulary, idf, [r.doc_id for r in rows], np.array([r.y for r in rows], np.int64), vectors)
-    if vocabulary:
-        index.calibrate(vectors, min(max(share, 1e-6), 1 - 1e-6))
-    return index, share
+    rows = mapped(docs.select(F.col("text").cast("string")), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = rows["at"].to_numpy(), rows["n"].to_numpy()
+    out = np.zeros(len(vocabulary))
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at < 0].sum())
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence): evidence lists the nearest as id:label:cosine."""
-    index, share = fitted(docs, labels)
-    index.seen.clear()
-    held = docs.sparkSession.sparkContext.broadcast(index if index.vocabulary else None)
+    examples, share = labelled.sample(docs, labels, "toxic", FOLDS, FOLD, MOST)
+    rows = sorted(examples.collect(), key=lambda r: (str(r.doc_id), r.text or ""))
+    y = np.array([r.y for r in rows], np.int64)
+    index = fitted([(r.text or "").encode() for r in rows], y, lambda v: document_frequencies(docs, v), share) if 0 < y.sum() < len(y) else None
+    held = docs.sparkSession.sparkContext.broadcast((index, [r.doc_id for r in rows]))
 
     def row(text: bytes | None) -> tuple[float, str]:
-        return held.value.scored(text) if held.value else (share, "")
+        own, ids = held.value
+        return own.scored(text, ids) if own else (share, "")
 
     out = per_text(docs, "doc_id", "text", row, [pa.field("score", pa.float64()), pa.field("evidence", pa.string())])
     return out.select("doc_id", labelled.in_fold(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")

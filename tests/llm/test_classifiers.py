@@ -29,21 +29,73 @@ def test_sample_is_bounded_and_skips_the_fold(tables):
     assert 0 < some.count() <= 40 and some.filter(labelled.in_fold(F.col("doc_id"), 5, 0)).isEmpty()
 
 
-def test_nearest_equals_brute_force():
-    rng = np.random.default_rng(1)
-    vocabulary = {f"t{i}".encode(): i for i in range(40)}
-    vectors = []
-    for _ in range(700):
-        at = rng.choice(40, rng.integers(0, 6), replace=False)
-        w = rng.uniform(0.1, 1, len(at))
-        w /= np.sqrt((w * w).sum()) if len(w) else 1
-        vectors.append(dict(sorted(zip(at.tolist(), w.tolist(), strict=True))))
-    index = toxicity.Index(vocabulary, np.ones(40), [*range(700)], rng.integers(0, 2, 700), vectors)
-    for q in vectors[:200]:
-        places, scores = index.nearest(q, toxicity.NEAREST)
-        every = np.array([sum(w * q.get(t, 0) for t, w in v.items()) for v in vectors])
-        best = np.sort(every[every > 0])[::-1][: toxicity.NEAREST]
-        assert np.allclose(scores, best, atol=1e-5) and np.allclose(every[places], scores, atol=1e-5)
+def made_texts(n, seed):
+    rng = cases.seeded(seed)
+    return [" ".join(f"word{int(rng.paretovariate(0.6)) % 3000}" for _ in range(rng.choice([0, 1, 5, 40]))).encode() for _ in range(n)]
+
+
+def full_cosines(texts, labels, rows, idf, text):
+    """Every cosine to the chosen rows, term by term."""
+    counts, terms = [toxicity.terms(t) for t in texts], {}
+    share = sum(labels[i] for i in rows) / len(rows)
+    for i in rows:
+        for t in counts[i]:
+            terms.setdefault(t, [0, 0])[1 - labels[i]] += 1
+
+    def weight(t):
+        a, b = terms[t]
+        out = sum(x * np.log(x / ((a + b) * e)) for x, e in ((a, share), (b, 1 - share)) if x)
+        return idf[t] * max(2 * out, 0)
+
+    def vector(c):
+        raw = {t: (1 + np.log(n)) * weight(t) for t, n in c.items() if t in terms}
+        norm = np.sqrt(sum(w * w for w in raw.values())) or 1
+        return {t: w / norm for t, w in raw.items()}
+
+    q = vector(toxicity.terms(text))
+    return np.array([sum(w * q.get(t, 0) for t, w in vector(counts[i]).items()) for i in rows])
+
+
+@pytest.mark.parametrize("short", [(1, 2), (4, 30), (256, 1024)])
+def test_from_texts_to_scores_by_brute_force(monkeypatch, short):
+    """Frequencies, relevances, cosines, votes, the curve and the scores, over all terms and all examples."""
+    monkeypatch.setattr(toxicity, "SHORT", short)
+    texts = made_texts(260, 7)
+    labels = np.array([int(b"word1 " in t or i % 9 == 0) for i, t in enumerate(texts)])
+    everywhere = texts * 2 + made_texts(100, 8)
+    df = {}
+    for t in everywhere:
+        for x in toxicity.terms(t):
+            df[x] = df.get(x, 0) + 1
+    idf = {t: np.log((1 + len(everywhere)) / (1 + n)) + 1 for t, n in df.items()}
+    index = toxicity.fitted(texts, labels, lambda v: (np.array([df.get(t, 0) for t in v]), len(everywhere)), 0.2)
+    assert len(index.vocabulary) == len(set().union(*map(toxicity.terms, texts)))  # no term is left out
+
+    def vote(rows, text):
+        cosines = np.round(full_cosines(texts, labels, rows, idf, text), 6)
+        best = sorted((-c, j) for j, c in enumerate(cosines) if c > 0)[: toxicity.NEAREST]
+        total = sum(-c for c, _ in best)
+        return sum(-c * (1 if labels[rows[j]] else -1) for c, j in best) / (total + 0.5), [-c for c, _ in best]
+
+    votes = np.array([vote([j for j in range(260) if j % toxicity.INNER != i % toxicity.INNER], t)[0] for i, t in enumerate(texts)])
+    w = np.where(labels == 1, 0.2 / labels.sum(), 0.8 / (260 - labels.sum())) * 260
+    loss = lambda s, b: (w * (np.log1p(np.exp(s * votes + b)) - labels * (s * votes + b))).sum() + 5e-3 * (s * s + b * b)
+    at = loss(index.slope, index.bias)
+    assert all(at <= loss(index.slope + x, index.bias + y) + 1e-6 for x in (-0.02, 0, 0.02) for y in (-0.02, 0, 0.02))
+    for text in [*texts[:60], *made_texts(60, 9), b"", None]:
+        expected, cosines = vote(range(260), text)
+        rows, scores = index.nearest(*index.vector(toxicity.terms(text)))
+        assert np.allclose(scores, cosines, atol=2e-5)
+        p, evidence = index.scored(text, [*range(260)])
+        assert abs(p - 1 / (1 + np.exp(-(index.slope * expected + index.bias)))) < 2e-3
+        assert evidence.count(":") == 2 * min(toxicity.SHOWN, len(rows))
+
+
+def test_labels_that_contradict(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (None, 1), (3, 7), (6, 0)], "doc_id long, toxic int")
+    some, share = labelled.sample(docs, labels, "toxic", 5, 99, 10)
+    assert cases.rows_of(some, "doc_id", "text", "y") == [(1, "a", 1), (1, "b", 1), (2, "c", 0)] and share == pytest.approx(1 / 3)
 
 
 def test_terms():
