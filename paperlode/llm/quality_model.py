@@ -4,16 +4,17 @@ A document's bytes are cut into overlapping chunks that cover all of it. Each by
 tell whether the last GRAM bytes stood shortly before; learned filters slide over a chunk, and each filter's largest
 response is its value for the chunk. The means and the maxima over a document's chunks make one probability.
 
-Fitting takes a bounded sample: MOST labelled rows of each class and, of each, at most CROPS chunks spread evenly over
-the whole text. Scoring takes every chunk.
+Fitting takes a bounded sample: MOST labelled rows of each class, and of these rows every chunk. Long texts pass through
+the network in slices, so that memory doesn't follow a text's length. Scoring takes every chunk too.
 
-Defined results: a null or empty text is one chunk of zero bytes; without labelled rows of both classes every score is
-the share of class 1; a repeated row is scored alike; a null id isn't held out; further columns are ignored.
+Defined results: a null or empty text is one chunk of zero bytes; a very long text is scored by all of its chunks; there
+are no ties: in fitting, the first of equal responses and of equal chunks counts; without labelled rows of both classes,
+or in empty tables, every score is the share of class 1; a row labelled both ways counts as class 1; a repeated row is
+scored alike; a null id isn't held out; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.llm import labelled
-from paperlode.llm.common import mapped, per_text, slices
+from paperlode.llm.common import per_text
 
 FOLDS, FOLD = 3, 1
-#: Bounds of the fit.
-MOST, CROPS, STEPS, BATCH = 2000, 8, 500, 48
+#: Bound of the fit, in rows of each class; its length.
+MOST, STEPS, BATCH = 2000, 500, 48
+#: Chunks that pass through the network at once.
+SLICE = 512
 CHUNK, STRIDE = 256, 192  # bytes; chunks overlap by 64
 WIDTH, HOP, FILTERS, DIMS = 8, 4, 24, 6
 POSITIONS = (CHUNK - WIDTH) // HOP + 1
@@ -78,49 +81,67 @@ class Model:
 
     def probability(self, text: bytes | None) -> float:
         chunks, total, top = chunked(text), np.zeros(FILTERS), np.zeros(FILTERS, np.float32)
-        for start in range(0, len(chunks), 512):
-            values = self.pooled(chunks[start : start + 512])
+        for start in range(0, len(chunks), SLICE):
+            values = self.pooled(chunks[start : start + SLICE])
             total += values.sum(axis=0, dtype=np.float64)
             top = np.maximum(top, values.max(axis=0))
         z = float(self.mean @ (total / len(chunks)) + self.top @ top + self.offset[0])
         return round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 6)
 
 
-def fit(crops: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 7) -> Model:
-    """Adam on the logistic loss; batches have as many rows of either class, and the offset is set for `share` at last."""
-    rng = np.random.default_rng(seed)
+NAMES = ("embedding", "filters", "bias", "mean", "top", "offset")
+
+
+def gradient(model: Model, texts: list[np.ndarray], seen: list[np.ndarray], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean logistic loss over texts (each as its chunks, with their repeats), and its gradient."""
+    n, per = np.array([len(c) for c in texts]), SLICE
+    doc, starts, n_docs = np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n, len(texts)
+    chunks, extra = np.concatenate(texts), np.concatenate(seen)
+    value, at = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
+    for i in range(0, len(chunks), per):
+        part = chunks[i : i + per]
+        response = (model.patches(part, extra[i : i + per]).reshape(-1, WIDTH * CHANNELS) @ model.filters).reshape(len(part), POSITIONS, FILTERS)
+        at[i : i + per] = response.argmax(axis=1)
+        value[i : i + per] = np.maximum(np.take_along_axis(response, at[i : i + per, None], 1)[:, 0] + model.bias, 0)
+    mean, top = np.add.reduceat(value, starts) / n[:, None], np.maximum.reduceat(value, starts)
+    z = mean @ model.mean + top @ model.top + model.offset
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    d = ((p - labels) / n_docs).astype(np.float32)
+    first = np.zeros_like(value)  # 1 where a chunk has its document's maximum
+    for k, (start, size) in enumerate(zip(starts.tolist(), n.tolist(), strict=True)):
+        first[start + value[start : start + size].argmax(axis=0), np.arange(FILTERS)] = 1
+    back = (d[doc, None] * (model.mean / n[doc, None] + first * model.top)) * (value > 0)
+    out = {"offset": d.sum(keepdims=True), "mean": d @ mean, "top": d @ top, "bias": back.sum(axis=0), "filters": np.zeros_like(model.filters), "embedding": np.zeros_like(model.embedding)}
+    for i in range(0, len(chunks), per):
+        part, own = chunks[i : i + per], back[i : i + per]
+        bytes_of = at[i : i + per, :, None] * HOP + np.arange(WIDTH)  # chunks, FILTERS, WIDTH
+        rows = np.arange(len(part))[:, None, None]
+        seen_at, bytes_at = extra[i : i + per][rows, bytes_of], part[rows, bytes_of]
+        best = np.concatenate([model.embedding[bytes_at], seen_at], axis=3).reshape(len(part), FILTERS, -1)
+        out["filters"] += np.einsum("cf,cfx->xf", own, best, optimize=True)
+        into = (own[:, :, None] * model.filters.T[None]).reshape(len(part), FILTERS, WIDTH, CHANNELS)
+        for c in range(DIMS):
+            out["embedding"][:, c] += np.bincount(bytes_at.reshape(-1), weights=into[..., c].reshape(-1), minlength=256)
+    return float((np.logaddexp(0, z) - labels * z).mean()), out
+
+
+def start(rng: np.random.Generator) -> Model:
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    model = Model(normal(256, DIMS, scale=0.5), normal(WIDTH * CHANNELS, FILTERS, scale=0.15), np.zeros(FILTERS, np.float32), normal(FILTERS, scale=0.1), normal(FILTERS, scale=0.1), np.zeros(1, np.float32))
-    names = ("embedding", "filters", "bias", "mean", "top", "offset")
-    moments = {n: (np.zeros_like(getattr(model, n)), np.zeros_like(getattr(model, n))) for n in names}
-    extra, of_class = [repeats(c) for c in crops], [np.flatnonzero(labels == y) for y in (0, 1)]
+    return Model(normal(256, DIMS, scale=0.5), normal(WIDTH * CHANNELS, FILTERS, scale=0.15), np.zeros(FILTERS, np.float32), normal(FILTERS, scale=0.1), normal(FILTERS, scale=0.1), np.zeros(1, np.float32))
+
+
+def fit(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -> Model:
+    """Adam on the logistic loss; batches have as many rows of either class, and the offset is set for `share` at last."""
+    rng, chunks = np.random.default_rng(seed), [chunked(t) for t in texts]
+    seen = [repeats(c).astype(np.uint8) for c in chunks]
+    model, of_class = start(rng), [np.flatnonzero(labels == y) for y in (0, 1)]
+    moments = {n: (np.zeros_like(getattr(model, n)), np.zeros_like(getattr(model, n))) for n in NAMES}
     for step in range(1, STEPS + 1):
         rows = np.concatenate([rng.choice(c, BATCH // 2) for c in of_class])
-        chunks, doc = np.concatenate([crops[i] for i in rows]), np.repeat(np.arange(BATCH), [len(crops[i]) for i in rows])
-        n = np.bincount(doc, minlength=BATCH).astype(np.float32)
-        patches = model.patches(chunks, np.concatenate([extra[i] for i in rows]))
-        response = (patches.reshape(-1, WIDTH * CHANNELS) @ model.filters).reshape(len(chunks), POSITIONS, FILTERS)
-        at = response.argmax(axis=1)
-        value = np.maximum(np.take_along_axis(response, at[:, None], 1)[:, 0] + model.bias, 0)
-        starts = np.searchsorted(doc, np.arange(BATCH))
-        mean, top = np.add.reduceat(value, starts) / n[:, None], np.maximum.reduceat(value, starts)
-        p = 1 / (1 + np.exp(-np.clip(mean @ model.mean + top @ model.top + model.offset, -30, 30)))
-        d = ((p - labels[rows]) / BATCH).astype(np.float32)
-        first = np.zeros_like(value)  # 1 where a chunk has its document's maximum
-        is_top = value == top[doc]
-        for i in range(BATCH):
-            own = slice(starts[i], starts[i] + int(n[i]))
-            first[own][is_top[own].argmax(axis=0), np.arange(FILTERS)] = 1
-        back = (d[doc, None] * (model.mean / n[doc, None] + first * model.top)) * (value > 0)
-        best = patches[np.arange(len(chunks))[:, None], at]  # chunks, FILTERS, WIDTH * CHANNELS
-        gradient = {"offset": d.sum(keepdims=True), "mean": d @ mean, "top": d @ top, "bias": back.sum(axis=0), "filters": np.einsum("cf,cfx->xf", back, best)}
-        into = (back[:, :, None] * model.filters.T[None]).reshape(len(chunks), FILTERS, WIDTH, CHANNELS)[..., :DIMS]
-        bytes_at = chunks[np.arange(len(chunks))[:, None, None], at[:, :, None] * HOP + np.arange(WIDTH)]
-        gradient["embedding"] = np.zeros_like(model.embedding)
-        np.add.at(gradient["embedding"], bytes_at.reshape(-1), into.reshape(-1, DIMS))
-        for name in names:
+        _, slope = gradient(model, [chunks[i] for i in rows], [seen[i] for i in rows], labels[rows])
+        for name in NAMES:
             m, v = moments[name]
-            g = gradient[name].astype(np.float32) + 1e-5 * getattr(model, name)
+            g = slope[name].astype(np.float32) + 1e-5 * getattr(model, name)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             setattr(model, name, getattr(model, name) - 0.01 * min(1, 2 - 2 * step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7))
@@ -128,24 +149,11 @@ def fit(crops: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 7
     return model
 
 
-def crops_of(examples: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """At most CROPS chunks of each example, spread evenly, by doc_id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            every = [chunked(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            some = [c[np.unique(np.linspace(0, len(c) - 1, CROPS).astype(int))].tobytes() for c in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(some, pa.binary())], names=["doc_id", "y", "crops"])
-
-    rows = mapped(examples.select(F.col("doc_id").cast("long"), "text", "y"), run, "doc_id long, y int, crops binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.crops)))
-    return [np.frombuffer(r.crops, np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r.y for r in rows], np.int64)
-
-
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
     examples, share = labelled.sample(docs, labels, "quality", FOLDS, FOLD, MOST)
-    crops, y = crops_of(examples)
-    model = fit(crops, y, min(max(share, 1e-6), 1 - 1e-6)) if 0 < y.sum() < len(y) else None
+    rows = sorted(examples.collect(), key=lambda r: (str(r.doc_id), r.text or ""))
+    texts, y = [(r.text or "").encode() for r in rows], np.array([r.y for r in rows], np.int64)
+    model = fit(texts, y, min(max(share, 1e-6), 1 - 1e-6)) if 0 < y.sum() < len(y) else None
     out = per_text(docs, "doc_id", "text", lambda t: (model.probability(t) if model else share,), [pa.field("score", pa.float64())])
     return out.select("doc_id", labelled.in_fold(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

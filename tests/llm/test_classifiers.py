@@ -170,6 +170,45 @@ def test_convolution_by_loop():
         assert np.allclose(row, np.maximum(np.max(every, axis=0) + model.bias, 0), atol=1e-3)
 
 
+def test_gradient_by_differences(monkeypatch):
+    """Each parameter's slope is what a small step changes, also where a text passes in slices."""
+    q, rng = quality_model, np.random.default_rng(3)
+    model = q.start(rng)
+    for name in q.NAMES:
+        setattr(model, name, getattr(model, name).astype(np.float64) + (0.05 if name == "bias" else 0))
+    model.patches = lambda chunks, extra: patches64(q, model, chunks, extra)
+    texts = [q.chunked(bytes(rng.integers(97, 110, n, dtype=np.uint8))) for n in (30, 900, 2500, 300)]
+    labels = np.array([0, 1, 0, 1])
+    loss, slope = q.gradient(model, texts, [q.repeats(c) for c in texts], labels)
+    monkeypatch.setattr(q, "SLICE", 3)
+    again, sliced = q.gradient(model, texts, [q.repeats(c) for c in texts], labels)
+    assert loss == pytest.approx(again) and all(np.allclose(slope[n], sliced[n], atol=1e-6) for n in q.NAMES)
+    for name in q.NAMES:
+        own = getattr(model, name)
+        for at in [np.unravel_index(np.abs(slope[name]).argmax(), own.shape), tuple(0 for _ in own.shape)]:
+            kept, sides = own[at], []
+            for step in (1e-5, -1e-5):
+                own[at] = kept + step
+                sides.append(q.gradient(model, texts, [q.repeats(c) for c in texts], labels)[0])
+            own[at] = kept
+            assert slope[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=2e-3, rel=0.05)
+
+
+def patches64(q, model, chunks, extra):
+    x = np.concatenate([model.embedding[chunks], extra.astype(np.float64)], axis=2)
+    return np.stack([x[:, p * q.HOP : p * q.HOP + q.WIDTH].reshape(len(chunks), -1) for p in range(q.POSITIONS)], axis=1)
+
+
+def test_quality_scores_by_loop():
+    """From a text to its probability, chunk by chunk, with the network's values by loops."""
+    q, rng = quality_model, np.random.default_rng(8)
+    model = q.start(rng)
+    for text in (b"", b"some text " * 90, bytes(rng.integers(0, 256, 1500, dtype=np.uint8))):
+        values = np.stack([model.pooled(c[None])[0] for c in q.chunked(text)]).astype(np.float64)
+        z = float(model.mean @ values.mean(axis=0) + model.top @ values.max(axis=0) + model.offset[0])
+        assert model.probability(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
 @pytest.mark.parametrize("scored", [toxicity.scored, quality_model.scored])
 def test_odd_rows(spark, scored):
     df = cases.odd(spark)
