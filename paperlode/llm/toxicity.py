@@ -4,9 +4,10 @@ Fitting takes a bounded sample of labelled rows: MOST of each class, whole texts
 the index: words, prefixes of longer words, and prefixes that are frequent in their text. A term weighs
 (1 + log tf) * idf * relevance. Document frequencies are counted over all documents; a term's relevance is the likelihood
 ratio statistic of its occurrence against the examples' labels, so that words of both classes hardly count, but none is
-left out. The examples' unit vectors are sparse postings; for each term and block of BLOCK examples the largest weight is
-kept. Of a text's terms those with short postings come first; blocks' largest weights bound what the others can add, and
-only examples that can still be among the nearest NEAREST get their full cosine, so the neighbours are exact.
+left out. The examples' unit vectors are postings: sparse ones for most terms, a row of all examples for the few terms
+that one in OFTEN examples has, with the largest weight of each block of BLOCK examples. A text's sparse postings are
+summed first; the blocks' largest weights bound what its frequent terms can add, and only blocks that can still hold one
+of the nearest NEAREST get their full cosines, so the neighbours are exact.
 
 The neighbours vote with their cosines. A logistic curve turns votes into calibrated scores; it is fitted on the examples'
 votes, each cast by examples of the other INNER - 1 of INNER folds with relevances of those folds. The evidence names the
@@ -35,13 +36,12 @@ from paperlode.llm.licenses import TO_WORDS
 
 FOLDS, FOLD = 5, 0
 #: Bound of the fit: examples of each class.
-MOST = 2000
+MOST = 1000
 PREFIX = 5  # bytes
 #: A prefix is frequent in a text that has it so often, and once in so many words or more.
 FREQUENT, PER = 2, 100
 NEAREST, BLOCK = 15, 64
-#: Terms of longer postings wait until bounds have been computed.
-SHORT = (1024,)
+OFTEN = 16
 INNER = 4
 SHOWN = 3
 
@@ -99,22 +99,21 @@ class Index:
     def __init__(self, examples: Examples, labels: np.ndarray, rows: np.ndarray, idf: np.ndarray):
         self.vocabulary, self.places, self.labels = examples.vocabulary, np.flatnonzero(rows), labels[rows]
         self.weight = (idf * examples.relevance(labels, rows)).astype(np.float64)
-        at, _ = spans(examples.starts[:-1][rows], examples.starts[1:][rows])
-        self.term = examples.term[at]
-        doc = np.repeat(np.arange(len(self.places)), np.diff(examples.starts)[rows])
-        self.starts = np.concatenate([[0], np.cumsum(np.diff(examples.starts)[rows])])
-        raw = (1 + np.log(examples.count[at])) * self.weight[self.term]
+        own = rows[examples.row]
+        term, doc = examples.term[own], (np.cumsum(rows) - 1)[examples.row[own]]
+        raw = (1 + np.log(examples.count[own])) * self.weight[term]
         norm = np.sqrt(np.bincount(doc, weights=raw * raw, minlength=len(self.places)))
-        self.value = (raw / np.where(norm > 0, norm, 1)[doc]).astype(np.float32)
-        order = np.lexsort((doc, self.term))
-        term, self.doc, self.posted = self.term[order], doc[order], self.value[order].astype(np.float64)
-        self.lists = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        n_blocks = -(-len(self.places) // BLOCK)
-        key = term * n_blocks + self.doc // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block = (key[first] % max(1, n_blocks)).astype(np.int32)
-        self.highest = np.maximum.reduceat(self.posted, first) if len(first) else np.zeros(0, np.float32)
-        self.block_lists = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
+        value = raw / np.where(norm > 0, norm, 1)[doc]
+        often = np.bincount(term, minlength=len(self.vocabulary)) * OFTEN >= len(self.places)
+        blocks = -(-len(self.places) // BLOCK)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        dense = np.zeros((int(often.sum()), blocks * BLOCK), np.float32)
+        dense[self.row[term[often[term]]], doc[often[term]]] = value[often[term]]
+        self.dense = dense.reshape(-1, blocks, BLOCK)
+        self.highest = self.dense.max(axis=2)
+        order = np.lexsort((doc, term))
+        order = order[~often[term[order]]]
+        self.doc, self.posted, self.lists = doc[order], value[order], np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
         self.slope, self.bias = 1.0, 0.0
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -130,35 +129,25 @@ class Index:
 
     def nearest(self, at: np.ndarray, q: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above 0, the nearest first."""
-        n, length = len(self.places), self.lists[at + 1] - self.lists[at]
-        scores, chosen, least = np.zeros(n), np.arange(n), 0
-        for short in (*SHORT, n + 1):
-            now, rest = (length >= least) & (length < short), length >= short
-            least = short
-            lists = [slice(*x) for x in zip(self.lists[at[now]].tolist(), self.lists[at[now] + 1].tolist(), strict=True)]
-            if lists:
-                doc, posted = np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.posted[x] for x in lists])
-                scores += np.bincount(doc, weights=posted * np.repeat(q[now], length[now]), minlength=n)
-            if not rest.any():
-                break
-            place, which = spans(self.block_lists[at[rest]], self.block_lists[at[rest] + 1])
-            bound = np.bincount(self.block[place], weights=self.highest[place] * q[rest][which], minlength=-(-n // BLOCK))
-            kth = np.partition(scores, n - k)[n - k] if n > k else 0.0
+        blocks, row = self.dense.shape[1], self.row[at]
+        place, which = spans(self.lists[at], self.lists[at + 1])
+        scores = np.bincount(self.doc[place], weights=self.posted[place] * q[which], minlength=blocks * BLOCK).reshape(blocks, BLOCK)
+        chosen = np.arange(blocks)
+        if (row >= 0).any():
+            row, q = row[row >= 0], q[row >= 0].astype(np.float32)
+            kth = np.partition(scores.reshape(-1), -k)[-k] if scores.size > k else 0.0
             # a margin for the rounding of sums in another order
-            some = np.flatnonzero(scores + 1.0001 * bound[chosen // BLOCK] + 1e-6 >= kth)
-            if len(some) <= 4 * k:
-                chosen, scores = some, self.cosines(at, q, some)
-                break
-        scores = np.round(scores, 6)
-        best = np.lexsort((chosen, -scores))[:k]
+            chosen = np.flatnonzero(scores.max(axis=1) + 1.0001 * (q @ self.highest[row]) + 1e-5 >= kth)
+            some = self.dense[row] if len(chosen) == blocks else self.dense[row[:, None], chosen]
+            scores = scores[chosen] + (q @ some.reshape(len(row), -1)).reshape(-1, BLOCK)
+        scores = np.round(scores.reshape(-1), 6)
+        rows = (chosen[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+        if len(rows) > k:
+            near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+            rows, scores = rows[near], scores[near]
+        best = np.lexsort((rows, -scores))[:k]
         best = best[scores[best] > 0]
-        return chosen[best], scores[best]
-
-    def cosines(self, at: np.ndarray, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The whole cosines of some rows."""
-        place, which = spans(self.starts[rows], self.starts[rows + 1])
-        where = np.minimum(np.searchsorted(at, self.term[place]), len(at) - 1)
-        return np.bincount(which, weights=self.value[place] * np.where(at[where] == self.term[place], q[where], 0), minlength=len(rows))
+        return rows[best], scores[best]
 
     def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
         """The mean of 1 or -1 by the neighbours' labels, weighted by cosine; half a neighbour of cosine 1 votes 0."""

@@ -56,10 +56,11 @@ def full_cosines(texts, labels, rows, idf, text):
     return np.array([sum(w * q.get(t, 0) for t, w in vector(counts[i]).items()) for i in rows])
 
 
-@pytest.mark.parametrize("short", [(1, 2), (4, 30), (256, 1024)])
-def test_from_texts_to_scores_by_brute_force(monkeypatch, short):
+@pytest.mark.parametrize(("often", "block"), [(1, 64), (16, 4), (16, 64), (10**6, 8)])
+def test_from_texts_to_scores_by_brute_force(monkeypatch, often, block):
     """Frequencies, relevances, cosines, votes, the curve and the scores, over all terms and all examples."""
-    monkeypatch.setattr(toxicity, "SHORT", short)
+    monkeypatch.setattr(toxicity, "OFTEN", often)
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     texts = made_texts(260, 7)
     labels = np.array([int(b"word1 " in t or i % 9 == 0) for i, t in enumerate(texts)])
     everywhere = texts * 2 + made_texts(100, 8)
