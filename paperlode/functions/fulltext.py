@@ -3,7 +3,7 @@
 Postings are rows (paper_id, lexeme, pos, weight): the title's words have weight A, the abstract's B, at positions that
 follow the title's. Mode "simple" takes lower-case runs of ASCII letters and digits, within Spark's own functions; mode
 "english" drops stop words and stems in Arrow batches. For a large corpus write_postings() stores them bucketed by
-lexeme, so that a query reads the buckets of its words only.
+lexeme, so that a query reads the buckets of its words only; by_lexeme() orders them for tables that are plain files.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from paperlode.functions.stemmer import stem
 from paperlode.packaging import ship
 
+#: The weights of the four classes of places, the greatest position and the most places of a lexeme.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 MOST_POSITION, MOST_PLACES = 16383, 256
+#: Fixed value: the public list of English stop words of the Snowball stemmer's authors.
 STOP_WORDS = frozenset(
     """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it
     its itself they them their theirs themselves what which who whom this that these those am is are was were be been
@@ -47,7 +49,8 @@ class Query:
 
 
 def parse(query: str) -> Query:
-    """Quoted phrases and the words between them; a quote that isn't closed stays part of its word."""
+    """Quoted phrases and the words between them; a quote that isn't closed stays part of its word. The pattern of a
+    phrase is a fixed value."""
     phrases = tuple(tuple(p.split()) for p in re.findall(r'"([^"]+)"', query))
     terms = tuple(re.sub(r'"[^"]+"', "", query).split())
     return Query(terms, tuple(p for p in phrases if p))
@@ -90,11 +93,15 @@ def postings(papers: DataFrame, mode: str = "simple") -> DataFrame:
     # bound as a lambda's variable, the words are found once; in a lambda's body they would be found for each element
     found = F.array(F.struct(words(F.col("title")).alias("t"), words(F.col("abstract")).alias("b")))
     both = F.transform(found, lambda r: F.concat(placed(r["t"], "A", F.lit(0)), placed(r["b"], "B", F.size(r["t"]))))[0]
-    x = papers.select("paper_id", both.alias("x"))
     if mode == "english":
         ship(papers.sparkSession)
-        x = x.mapInArrow(stemmed, "paper_id long, x array<struct<w:string,p:int,f:string>>")
-    return x.select("paper_id", F.explode("x").alias("x")).select("paper_id", F.col("x.w").alias("lexeme"), F.col("x.p").alias("pos"), F.col("x.f").alias("weight"))
+        x = papers.select("paper_id", both.alias("x")).mapInArrow(stemmed, "paper_id long, x array<struct<w:string,p:int,f:string>>")
+        each = x.select("paper_id", F.explode("x").alias("x"))
+    else:
+        # the expression itself is exploded: over a column of an earlier projection the optimizer would add a filter that
+        # isn't empty, and the texts would be tokenised twice
+        each = papers.select("paper_id", F.explode(both).alias("x"))
+    return each.select("paper_id", F.col("x.w").alias("lexeme"), F.col("x.p").alias("pos"), F.col("x.f").alias("weight"))
 
 
 def write_postings(table: DataFrame, name: str, buckets: int = 256) -> None:
@@ -102,6 +109,11 @@ def write_postings(table: DataFrame, name: str, buckets: int = 256) -> None:
     table.write.bucketBy(buckets, "lexeme").sortBy("lexeme", "paper_id").mode("overwrite").saveAsTable(name)
 
 
+def by_lexeme(table: DataFrame) -> DataFrame:
+    """In order of lexemes: of the files a query's filter then reads only the row groups that hold its words."""
+    return table.repartitionByRange("lexeme").sortWithinPartitions("lexeme", "paper_id")
+
+
 def refreshed(old: DataFrame, changed: DataFrame, mode: str = "simple") -> DataFrame:
     """Postings after papers have changed: those papers' postings are made anew, the others stay."""
     return old.join(changed.select("paper_id").distinct(), "paper_id", "left_anti").unionByName(postings(changed, mode))

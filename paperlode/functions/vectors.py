@@ -1,7 +1,7 @@
 """Vector functions as plain columns.
 
 Sign bits are packed into words of 32 bits, so that the Hamming distance is bit counts of exclusive ors, within
-whole-stage code generation; the packing itself runs once per vector.
+whole-stage code generation; the packing itself runs once per vector, when operators.ingest.derived() stores it.
 """
 
 from __future__ import annotations

@@ -72,15 +72,9 @@ def unknown_citing(found: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def batches(ids: DataFrame, size: int) -> DataFrame:
-    """(paper_id, chunk): ids in order, `size` to a chunk.
-
-    Ids are counted by ranges first and numbered within them, so that no task orders them all.
-    """
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    ordered = ids.select(F.col("paper_id").cast("long")).orderBy("paper_id")
-    schema = StructType([StructField("paper_id", LongType()), StructField("chunk", LongType())])
-    return ids.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] // size)), schema)
+    """(paper_id, chunk): ids in order, `size` to a chunk."""
+    at = tables.numbered(ids.select(F.col("paper_id").cast("long").alias("paper_id")), "at", ("paper_id",))
+    return at.select("paper_id", F.expr(f"at div {size}").alias("chunk"))
 
 
 def embedded(papers: DataFrame, embeddings: DataFrame, model: Model, batch: int = 128, workers: int = 4, calls_per_second: float = 1.0) -> DataFrame:

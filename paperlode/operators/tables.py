@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlode.shared import checkpointed
 from paperlode.sources.corpus import KEYS, Corpus
 
 
@@ -40,17 +41,39 @@ def upserted(incoming: DataFrame, target: DataFrame, table: str) -> DataFrame:
 
 
 def with_ids(new: DataFrame, target: DataFrame, id_col: str, order: tuple[str, ...]) -> DataFrame:
-    """New rows with ids that follow the target's greatest.
+    """New rows with ids that follow the target's greatest."""
+    top = target.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    return numbered(new, id_col, order).withColumn(id_col, F.col(id_col) + top + 1)
+
+
+def numbered(df: DataFrame, name: str, order: tuple[str, ...]) -> DataFrame:
+    """df with the rows' numbers in that order, from 0.
 
-    Rows are numbered within range partitions, whose sizes are summed first, so no partition holds them all.
+    Rows are numbered within range partitions, which follow one another; a table of the partitions' sizes (a row for
+    each, so it is broadcast) has what comes before. No partition holds all rows.
     """
-    from pyspark.sql.types import LongType, StructField, StructType
+    part, before, own = f"{name}_part", f"{name}_before", f"{name}_own"
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count("*").alias(own))
+    earlier = F.sum(own).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(part, F.coalesce(earlier, F.lit(0)).alias(before))
+    at = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.withColumn(own, at).join(F.broadcast(offsets), part).withColumn(name, (F.col(before) + F.col(own) - 1).cast("long")).drop(part, before, own)
 
-    top = target.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    ordered = new.orderBy(*order)
-    schema = StructType([*new.schema.fields, StructField(id_col, LongType(), False)])
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + top))
-    return new.sparkSession.createDataFrame(numbered, schema)
+
+def inserted_count(incoming: DataFrame, target: DataFrame, table: str) -> DataFrame:
+    """(n): how many rows inserted() would add."""
+    return absent(incoming, target, KEYS[table]).agg(F.count("*").alias("n"))
+
+
+def without_value(table: DataFrame, column: str) -> DataFrame:
+    """The rows whose column is still to be filled."""
+    return table.filter(F.col(column).isNull())
+
+
+def backfilled(table: DataFrame, column: str, value: Column) -> DataFrame:
+    """The table with `value` where the column is null; running it again changes nothing."""
+    return table.withColumn(column, F.coalesce(F.col(column), value))
 
 
 def violations(table: DataFrame, name: str) -> DataFrame:

@@ -92,13 +92,16 @@ def shuffled_sources(corpus: Corpus, tag_id: int, seed: int) -> DataFrame:
     return own.withColumn("src_ord", F.row_number().over(Window.orderBy(mixed, "paper_id")))
 
 
-def tag_search(corpus: Corpus, tag_id: int, cand: DataFrame, seed: int = 0, exclude_sources: bool = False, metric: str = "hamming", dims: int = 64) -> DataFrame:
-    """(place, paper_id, src_ord, distance, ...): may exceed a page, and has the tag's own papers unless excluded."""
+def tag_search(corpus: Corpus, tag_id: int, cand: DataFrame, seed: int = 0, exclude_sources: bool = False, metric: str = "hamming", dims: int = 64, k_override: int | None = None) -> DataFrame:
+    """(place, paper_id, src_ord, distance, ...): may exceed a page, and has the tag's own papers unless excluded.
+
+    k_override: neighbours of each source, where a caller wants more than the page's share.
+    """
     sources = shuffled_sources(corpus, tag_id, seed)
     n = sources.count()
     if exclude_sources:
         cand = cand.join(sources.select("paper_id"), "paper_id", "left_anti")
-    found = knn.per_source(corpus.embeddings, cand, sources, knn.share(n), metric, dims)
+    found = knn.first_found(corpus.embeddings, cand, sources, n, k_override or knn.share(n), metric, dims)
     return knn.interleaved(found).join(corpus.papers, "paper_id").orderBy("place")
 
 
