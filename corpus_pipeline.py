@@ -7,7 +7,6 @@ repeat an id are decided on alike; an empty table passes through all stages as a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.llm import bpe, line_dedup, mixing, near_dedup, quality_rules
+from paperlode.shared import shared_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Near-duplicates share this part of their sets of five words or more; op10_near_dedup has a threshold of its own.
@@ -54,8 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage's result is a table in the folder that the cluster's machines share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder, docs = f"{shared}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")

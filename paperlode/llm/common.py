@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.packaging import ship
+from paperlode.shared import checkpointed, shared_folder
 
 #: White space between words in the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,12 +99,8 @@ def spark_schema(df: DataFrame, id_col: str, schema: pa.Schema):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the folder in spark.checkpoint.dir, so that lost executors cost no recomputation.
-
-    Only where the session names no folder (as in tests on one machine) is a temporary one set.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written once to the folder in spark.checkpoint.dir, so that lost executors cost no recomputation."""
+    return checkpointed(df)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -130,14 +126,6 @@ def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(out) if size <= most else out
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where checkpoints go, as spark.checkpoint.dir says; set here if it isn't set yet."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -2,12 +2,15 @@
 
 A payload of bytes is stored losslessly as unsigned 8-bit samples (a WAV container), read back, resampled by a polyphase
 filter, turned into overlapped log-mel frames and cut into segments by hysteresis on the frames' energy. Windows of
-frames are stored as an Arrow fixed_shape_tensor column with their time spans, in Arrow's stream format.
+frames are fixed-shape tensors with time spans: windows() has a row for each, its values' shape in the column's metadata,
+and as_tensors() gives them Arrow's fixed_shape_tensor type. A payload's feature is computed from its stored tensors, read
+back from Arrow's stream format.
 
 Each payload is handled alone, in blocks of a fixed size, so equal payloads have equal values and memory grows with a
 payload by a few bytes for each of its bytes.
 
-Defined results: a null or empty text is one block of 64 zero bytes; rows are independent, so repeated rows and ids,
+Defined results: a null or empty text is one block of 64 zero bytes; a very long text is one payload like any other, in
+one task; there are no ties; rows are independent, so repeated rows and ids,
 and null ids, give a row each; an empty table gives an empty table; further columns are ignored.
 """
 
@@ -16,13 +19,15 @@ from __future__ import annotations
 import functools
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from paperlode.llm.common import per_text, sha256
+from paperlode.llm.common import mapped, per_text, sha256, slices, spark_schema
 
 UNIT = 64
 RATE, UP, DOWN = 16_000, 3, 4
@@ -30,9 +35,11 @@ HALF_TAPS = 8  # of each phase, on either side
 FRAME, HOP, MELS = 256, 128, 32
 WINDOW = 32  # frames in a tensor
 FLOOR_DB = -100.0
-#: A segment begins above ON_DB and lasts while the energy is above OFF_DB; shorter ones than MIN_FRAMES are dropped.
+#: A segment is a run of frames of energies above OFF_DB, one of them or more above ON_DB: it is found by ON_DB, and reaches
+#: back and forth to OFF_DB. Runs of less than MIN_FRAMES frames are dropped.
 ON_DB, OFF_DB, MIN_FRAMES = -18.0, -30.0, 2
 BLOCK = 1 << 16
+ROWS = 256  # tensors of a batch
 
 
 def padded(text: bytes) -> bytes:
@@ -143,6 +150,22 @@ def tensors(mel: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def read_tensors(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(t_start, t_end, values) of a stored stream: values has the shape (windows, WINDOW, MELS)."""
+    table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    return table["t_start"].to_numpy(), table["t_end"].to_numpy(), table["log_mel"].chunk(0).to_numpy_ndarray()
+
+
+def described(stream: bytes, spans: list[tuple[float, float]]) -> str:
+    """Windows, seconds, segments and voiced seconds, and the mean and deviation of the tensors' values in their spans."""
+    begin, end, values = read_tensors(stream)
+    step = HOP * DOWN / UP / RATE
+    n = np.rint((end - begin) / step).astype(int)
+    inside = values[np.arange(WINDOW) < n[:, None]].astype(np.float64)
+    voiced = sum(b - a for a, b in spans)
+    return f"windows={len(values)};frames={n.sum()};seconds={end[-1]:.3f};segments={len(spans)};voiced={voiced:.3f};mel={inside.mean():.2f}~{inside.std():.2f}"
+
+
 def analysed(text: bytes | None, keep: bool) -> tuple:
     text = text or b""
     media = stored(padded(text))
@@ -150,8 +173,7 @@ def analysed(text: bytes | None, keep: bool) -> tuple:
     samples = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
     mel, energy = frames(resampled(samples))
     spans, windows = segments(energy), tensors(mel)
-    voiced = sum(b - a for a, b in spans)
-    feature = f"frames={len(mel)};windows={-(-len(mel) // WINDOW)};segments={len(spans)};voiced={voiced:.3f};mel={mel.mean(dtype=np.float64):.2f}~{mel.std(dtype=np.float64):.2f};tensors={len(windows)}"
+    feature = described(windows, spans)
     row = (len(text), len(payload), sha256(payload), zlib.crc32(payload[-UNIT:]), len(media), sha256(media), feature)
     return (*row, media, windows, [{"t_start": a, "t_end": b} for a, b in spans]) if keep else row
 
@@ -163,3 +185,31 @@ KEPT = [pa.field("media", pa.binary()), pa.field("log_mel", pa.binary()), pa.fie
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """(id, sizes, digests, feature); with `keep` the stored media, the tensors' Arrow stream and the segments as well."""
     return per_text(df, id_col, text_col, lambda t: analysed(t, keep), FIELDS + KEPT * keep)
+
+
+def windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, window, t_start, t_end, log_mel): a row for each tensor, log_mel being WINDOW * MELS floats in rows of MELS, as
+    the column's metadata says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, BLOCK):
+            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                begin, end, values = read_tensors(analysed(text, True)[-2])
+                for a in range(0, len(values), ROWS):
+                    n = len(values[a : a + ROWS])
+                    flat = pa.array(values[a : a + ROWS].reshape(-1), pa.float32())
+                    mel = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * WINDOW * MELS, pa.int32()), flat)
+                    own = batch.column(0).take(pa.array([i] * n, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(a, a + n)), pa.array(begin[a : a + n]), pa.array(end[a : a + n]), mel], names=[id_col, "window", "t_start", "t_end", "log_mel"])
+
+    schema = pa.schema([pa.field("x", pa.int64()), ("window", pa.int64()), ("t_start", pa.float64()), ("t_end", pa.float64()), ("log_mel", pa.list_(pa.float32()))])
+    out = mapped(df.select(F.col(id_col), F.col(text_col).cast("string")), run, spark_schema(df, id_col, schema))
+    return out.withMetadata("log_mel", {"shape": [WINDOW, MELS], "dim_names": ["frame", "mel"]})
+
+
+def as_tensors(table: pa.Table) -> pa.Table:
+    """windows() as an Arrow table whose log_mel has the type fixed_shape_tensor."""
+    at = table.schema.get_field_index("log_mel")
+    flat = table["log_mel"].combine_chunks()
+    values = pa.FixedSizeListArray.from_arrays((flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten(), WINDOW * MELS)
+    return table.set_column(at, pa.field("log_mel", TENSOR), pa.ExtensionArray.from_storage(TENSOR, values))

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import cases
 from paperlode.llm import entries, media
@@ -98,3 +99,37 @@ def test_query(spark):
         n, size, sha, crc = digests(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) == (n, size, sha, crc, size + 44)
         assert r.media_sha256 == hashlib.sha256(media.stored(media.padded((texts[r.doc_id] or "").encode()))).hexdigest()
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 30_000])
+def test_feature_by_brute_force(n):
+    """From the log-mel values and energies, frame by frame, without the tensors."""
+    text = bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
+    payload = media.padded(text)
+    mel, energy = media.frames(media.resampled((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
+    step = media.HOP * media.DOWN / media.UP / media.RATE
+    spans, i = [], 0
+    while i < len(energy):
+        j = i
+        while j < len(energy) and energy[j] > media.OFF_DB:
+            j += 1
+        if j - i >= media.MIN_FRAMES and any(e > media.ON_DB for e in energy[i:j]):
+            spans.append((j - i) * step)
+        i = max(j, i + 1)
+    flat = [float(x) for row in mel for x in row]
+    mean = sum(flat) / len(flat)
+    deviation = (sum((x - mean) ** 2 for x in flat) / len(flat)) ** 0.5
+    expected = f"windows={-(-len(mel) // media.WINDOW)};frames={len(mel)};seconds={len(mel) * step:.3f};segments={len(spans)};voiced={sum(spans):.3f};mel={mean:.2f}~{deviation:.2f}"
+    assert media.analysed(text, False)[-1] == expected
+
+
+def test_windows_are_fixed_shape_tensors(spark):
+    df = cases.odd(spark).filter("doc_id IS NULL OR doc_id <> 9")
+    out = media.windows(df)
+    assert out.schema["log_mel"].metadata["shape"] == [media.WINDOW, media.MELS] and media.windows(df.limit(0)).count() == 0
+    table = media.as_tensors(out.filter("doc_id = 8").orderBy("window").toArrow())
+    assert table.schema.field("log_mel").type == media.TENSOR
+    begin, end, values = media.read_tensors(media.analysed(cases.LONG.encode(), True)[-2])
+    own = table["log_mel"].combine_chunks()
+    assert np.array_equal((own.chunk(0) if isinstance(own, pa.ChunkedArray) else own).to_numpy_ndarray(), values)
+    assert np.array_equal(table["t_start"].to_numpy(), begin) and np.array_equal(table["t_end"].to_numpy(), end)
