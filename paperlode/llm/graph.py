@@ -1,4 +1,8 @@
-"""Connected components by contraction, on tables that never leave the executors."""
+"""Connected components by contraction, on tables that never leave the executors.
+
+Defined results: an edge with a null end, or with two equal ends, joins nothing; repeated edges count once; a node
+without edges isn't in the result; without edges the result is empty.
+"""
 
 from __future__ import annotations
 

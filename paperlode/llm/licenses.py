@@ -6,7 +6,8 @@ priority and containment: one that lies within another of at least its priority
 priorities the rule first in the table stays). Words stand in Latin-1 form of their UTF-8 bytes while matching, so that
 any byte is one character.
 
-Defined results: a null or empty text has no words and no labels, and score 0; rows are independent, so repeated rows
+Defined results: a null or empty text has no words and no labels, and score 0; a very long text is scanned whole, in
+one task; ties between rules go by priority, then place, then order in the table of rules; rows are independent, so repeated rows
 and ids, and null ids, give a row each; an empty table gives an empty table; further columns are ignored.
 """
 

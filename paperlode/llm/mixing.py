@@ -8,7 +8,9 @@ Sources by code point, null last, weigh 1, 2, 3, repeating. They share the sum o
 times its source's size, and the excess is shared anew by weight until none does. In order of cap / weight the capped
 sources are a prefix, so two running sums over the table of sources find the level instead of a loop.
 
-Defined results: a null or empty text has size 0 and takes 0 words; null sources are a source of their own; a source
+Defined results: a null or empty text has size 0 and takes 0 words; a very long text is one row, taken or not as a
+whole; sources that reach their caps at the same level come in order of their names, which doesn't change the level; an
+empty table has no sources and gives an empty table; null sources are a source of their own; a source
 without words has target 0, and its documents stay once each; rows that repeat an id share its decision; a null id is
 replaced by a digest of the text; further columns, whatever their names, are kept by mix().
 """

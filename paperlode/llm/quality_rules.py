@@ -4,8 +4,9 @@ Each rule compares `share * denominator` with `100 * numerator` in whole numbers
 metrics are array and string functions over the whole text; where a metric needs the words again and again they are
 bound once (common.let).
 
-Defined results: a null or empty text has no words, so every count is 0 and the row fails (fewer than 10 words); rows
-are independent, so ties, repeated rows and null ids don't matter; an empty table gives an empty table; verdicts()
+Defined results: a null or empty text has no words, so every count is 0 and the row fails (fewer than 10 words); a very
+long text is one row whose arrays follow its words; the floor of stop words knows four languages, so that a text of 60
+words or more in another language fails unless a caller gives other rules; rows are independent, so ties, repeated rows and null ids don't matter; an empty table gives an empty table; verdicts()
 returns the id and its own columns, accepted() keeps all of the table's columns, whatever their names.
 """
 

@@ -9,7 +9,8 @@ The index holds the trigrams that some query asks for; queries and index are bot
 candidate set is never too small. Spans are in code points, end exclusive; matches are leftmost and non-overlapping per
 rule; a match that fails its rule's test is dropped and still uses up its characters.
 
-Defined results: a null or empty text has no spans; rows are independent, so repeated rows and ids, and null ids, give
+Defined results: a null or empty text has no spans; a very long text is one text of its slice's
+index and is searched whole; spans that tie on their start come in the order of the kinds; rows are independent, so repeated rows and ids, and null ids, give
 a row each; an empty table gives an empty table; further columns are ignored.
 """
 

@@ -1,4 +1,8 @@
-"""Shingle sets and MinHash values of many texts at once, in numpy."""
+"""Shingle sets and MinHash values of many texts at once, in numpy.
+
+Defined results: an empty text has an empty set, which has no MinHash values; a very long text is hashed in pieces that
+end with white space; repeated shingles count once; equal texts have equal sets, so there are no ties.
+"""
 
 from __future__ import annotations
 
