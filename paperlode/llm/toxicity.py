@@ -22,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,14 +51,15 @@ def terms(text: bytes | None) -> Counter:
     """Words, the prefixes of longer words after a zero byte, and those that are frequent in the text once more after a
     one byte, with their counts."""
     out = Counter((text or b"").translate(TO_WORDS).split())
-    prefixes: Counter = Counter()
+    prefixes: dict[bytes, int] = {}
     for w, n in out.items():
         if len(w) > PREFIX:
-            prefixes[b"\0" + w[:PREFIX]] += n
-    total = out.total()
-    frequent = {b"\1" + t[1:]: n for t, n in prefixes.items() if n >= FREQUENT and n * PER >= total}
-    out.update(prefixes)
-    out.update(frequent)
+            prefix = w[:PREFIX]
+            prefixes[prefix] = prefixes.get(prefix, 0) + n
+    least = max(FREQUENT, out.total() / PER)
+    # no word begins with a zero or a one byte, so nothing has to be added up
+    dict.update(out, {b"\0" + t: n for t, n in prefixes.items()})
+    dict.update(out, {b"\1" + t: n for t, n in prefixes.items() if n >= least})
     return out
 
 
@@ -118,9 +120,10 @@ class Index:
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, in order, and weights of unit length."""
-        own = self.vocabulary
-        at, n = np.array([(own[t], n) for t, n in counts.items() if t in own], np.int64).reshape(-1, 2).T
+        at = np.array([*map(self.vocabulary.get, counts, itertools.repeat(-1))], np.int64)
+        n = np.array([*counts.values()], np.int64)
         order = np.argsort(at)
+        order = order[np.searchsorted(at[order], 0) :]
         at = at[order]
         raw = (1 + np.log(n[order])) * self.weight[at]
         some = raw > 0
@@ -195,11 +198,14 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(held.value), np.int64), 0
+        counts, n, get = np.zeros(len(held.value), np.int64), 0, held.value.get
         for batch in slices(batches, 0):
+            found: list[int] = []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                n += 1
-                counts[[held.value[t] for t in terms(text).keys() & held.value.keys()]] += 1
+                found += map(get, terms(text), itertools.repeat(-1))
+            n += batch.num_rows
+            found = np.array(found, np.int64)
+            counts += np.bincount(found[found >= 0], minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], counts[at]]))], names=["at", "n"])
 
