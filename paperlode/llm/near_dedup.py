@@ -20,7 +20,7 @@
 
 A link's similarity is `percent` hundredths or more: 85 in op10_near_dedup, 80 in the pipeline. The chance that two
 classes share no prefix in any tree is (1 - 0.85 ** 3) ** 24 < 2e-10 at similarity 0.85, (1 - 0.80 ** 3) ** 24 < 4e-8 at
-0.80; that their signatures agree by less than ALIKE is below 1e-8 and 1e-4. Among n strangers of similarity t a pair
+0.80; that their signatures agree by less than ALIKE is below 1e-7 and 2e-4. Among n strangers of similarity t a pair
 must share about d = log(n / NEAR) / log(1 / t) values to be neighbours, so that an order misses it with 1 - 0.85 ** d:
 for a million strangers of 0.42 all 24 + 96 orders miss it with less than 2e-5. tests/llm/test_near_dedup.py measures it.
 
