@@ -4,8 +4,9 @@ A document's bytes are cut into overlapping chunks that cover all of it. Each by
 tell whether the last GRAM bytes stood shortly before; learned filters slide over a chunk, and each filter's largest
 response is its value for the chunk. The means and the maxima over a document's chunks make one probability.
 
-Fitting takes a bounded sample: MOST labelled rows of each class, and of these rows every chunk. Long texts pass through
-the network in slices, so that memory doesn't follow a text's length. Scoring takes every chunk too.
+Fitting takes a bounded sample: MOST labelled rows of each class, and of these rows every chunk. Equal chunks of a text
+pass through the network once and count as often as they stand there, and so does a row that a batch draws repeatedly.
+Long texts pass in slices, so that memory doesn't follow a text's length. Scoring takes every chunk too.
 
 Defined results: a null or empty text is one chunk of zero bytes; a very long text is scored by all of its chunks; there
 are no ties: in fitting, the first of equal responses and of equal chunks counts; without labelled rows of both classes,
@@ -15,6 +16,7 @@ scored alike; a null id isn't held out; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,7 @@ SLICE = 512
 CHUNK, STRIDE = 256, 192  # bytes; chunks overlap by 64
 WIDTH, HOP, FILTERS, DIMS = 8, 4, 24, 6
 POSITIONS = (CHUNK - WIDTH) // HOP + 1
-GRAM, LAGS = 4, ((2, 9), (9, 33))
+GRAM, LAGS = 4, ((2, 9), (9, 33))  # a gram is compared as one 32-bit integer
 CHANNELS = DIMS + len(LAGS)
 
 
@@ -48,13 +50,22 @@ def chunked(text: bytes | None) -> np.ndarray:
 
 def repeats(chunks: np.ndarray) -> np.ndarray:
     """(chunks, CHUNK, len(LAGS)): 1 where the last GRAM bytes equal those some bytes before; zero bytes don't count."""
-    out = np.zeros((*chunks.shape, len(LAGS)), np.float32)
+    n, out, there = len(chunks), np.zeros((*chunks.shape, len(LAGS)), np.float32), chunks != 0
+    grams = np.ndarray((n, CHUNK - GRAM + 1), np.uint32, np.ascontiguousarray(chunks), strides=(CHUNK, 1)).copy()
+    whole = functools.reduce(np.logical_and, (there[:, k : CHUNK - GRAM + 1 + k] for k in range(GRAM)))
     for k, (first, last) in enumerate(LAGS):
-        found = np.zeros(chunks.shape, bool)
+        found = np.zeros(grams.shape, bool)
         for lag in range(first, last):
-            same = (chunks[:, lag:] == chunks[:, :-lag]) & (chunks[:, lag:] != 0)
-            found[:, lag + GRAM - 1 :] |= same[:, 3:] & same[:, 2:-1] & same[:, 1:-2] & same[:, :-3]
-        out[:, :, k] = found
+            found[:, lag:] |= grams[:, lag:] == grams[:, :-lag]
+        out[:, GRAM - 1 :, k] = found & whole
+    return out
+
+
+def coded(chunks: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """(chunks, CHUNK): a byte and its repeats as one row of Model.table()."""
+    out = chunks.astype(np.int32)
+    for k in range(len(LAGS)):
+        out += extra[:, :, k].astype(np.int32) << (8 + k)
     return out
 
 
@@ -67,12 +78,15 @@ class Model:
     top: np.ndarray  # and of the maxima
     offset: np.ndarray
 
+    def table(self) -> np.ndarray:
+        """(256 * 2 ** len(LAGS), CHANNELS): the channels of each byte with each combination of repeats."""
+        bits = np.indices((2,) * len(LAGS))[::-1].reshape(len(LAGS), -1).T
+        return np.concatenate([np.tile(self.embedding, (len(bits), 1)), np.repeat(bits, 256, axis=0).astype(self.embedding.dtype)], axis=1)
+
     def patches(self, chunks: np.ndarray, extra: np.ndarray) -> np.ndarray:
-        x = np.empty((len(chunks), CHUNK, CHANNELS), np.float32)
-        x[:, :, :DIMS] = self.embedding[chunks]
-        x[:, :, DIMS:] = extra
-        view = as_strided(x, (len(chunks), POSITIONS, WIDTH * CHANNELS), (CHUNK * CHANNELS * 4, HOP * CHANNELS * 4, 4), writeable=False)
-        return np.ascontiguousarray(view)
+        x = self.table().take(coded(chunks, extra), axis=0)
+        step = x.itemsize * CHANNELS
+        return np.ascontiguousarray(as_strided(x, (len(chunks), POSITIONS, WIDTH * CHANNELS), (CHUNK * step, HOP * step, x.itemsize), writeable=False))
 
     def pooled(self, chunks: np.ndarray) -> np.ndarray:
         """(chunks, FILTERS): each filter's largest response in a chunk, at least 0."""
@@ -92,37 +106,51 @@ class Model:
 NAMES = ("embedding", "filters", "bias", "mean", "top", "offset")
 
 
-def gradient(model: Model, texts: list[np.ndarray], seen: list[np.ndarray], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """The mean logistic loss over texts (each as its chunks, with their repeats), and its gradient."""
+def distinct(chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's different chunks, in order of first place, and how often each stands there."""
+    places: dict[bytes, int] = {}
+    at = np.array([places.setdefault(c.tobytes(), len(places)) for c in chunks])
+    first = np.unique(at, return_index=True)[1]
+    return chunks[first], np.bincount(at)
+
+
+def gradient(model: Model, texts: list[np.ndarray], seen: list[np.ndarray], labels: np.ndarray, times: list[np.ndarray] | None = None, drawn: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean logistic loss over texts (each as its chunks, with their repeats), and its gradient.
+
+    `times` says how often each chunk stands in its text, `drawn` how often each text counts; once by default.
+    """
     n, per = np.array([len(c) for c in texts]), SLICE
-    doc, starts, n_docs = np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n, len(texts)
+    doc, starts = np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n
+    times = np.ones(len(doc)) if times is None else np.concatenate(times)
+    drawn = np.ones(len(texts)) if drawn is None else drawn
+    share = (times / np.add.reduceat(times, starts)[doc])[:, None].astype(np.float32)  # of its text's chunks
     chunks, extra = np.concatenate(texts), np.concatenate(seen)
     value, at = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
     for i in range(0, len(chunks), per):
         part = chunks[i : i + per]
-        response = (model.patches(part, extra[i : i + per]).reshape(-1, WIDTH * CHANNELS) @ model.filters).reshape(len(part), POSITIONS, FILTERS)
-        at[i : i + per] = response.argmax(axis=1)
-        value[i : i + per] = np.maximum(np.take_along_axis(response, at[i : i + per, None], 1)[:, 0] + model.bias, 0)
-    mean, top = np.add.reduceat(value, starts) / n[:, None], np.maximum.reduceat(value, starts)
+        response = (model.filters.T @ model.patches(part, extra[i : i + per]).reshape(-1, WIDTH * CHANNELS).T).reshape(FILTERS, len(part), POSITIONS)
+        best = response.argmax(axis=2)
+        at[i : i + per] = best.T
+        value[i : i + per] = np.maximum(np.take_along_axis(response, best[:, :, None], 2)[:, :, 0].T + model.bias, 0)
+    mean, top = np.add.reduceat(value * share, starts), np.maximum.reduceat(value, starts)
     z = mean @ model.mean + top @ model.top + model.offset
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    d = ((p - labels) / n_docs).astype(np.float32)
+    d = (drawn * (p - labels) / drawn.sum()).astype(np.float32)
     first = np.zeros_like(value)  # 1 where a chunk has its document's maximum
-    for k, (start, size) in enumerate(zip(starts.tolist(), n.tolist(), strict=True)):
+    for start, size in zip(starts.tolist(), n.tolist(), strict=True):
         first[start + value[start : start + size].argmax(axis=0), np.arange(FILTERS)] = 1
-    back = (d[doc, None] * (model.mean / n[doc, None] + first * model.top)) * (value > 0)
+    back = (d[doc, None] * (model.mean * share + first * model.top)) * (value > 0)
     out = {"offset": d.sum(keepdims=True), "mean": d @ mean, "top": d @ top, "bias": back.sum(axis=0), "filters": np.zeros_like(model.filters), "embedding": np.zeros_like(model.embedding)}
     for i in range(0, len(chunks), per):
         part, own = chunks[i : i + per], back[i : i + per]
         bytes_of = at[i : i + per, :, None] * HOP + np.arange(WIDTH)  # chunks, FILTERS, WIDTH
-        rows = np.arange(len(part))[:, None, None]
-        seen_at, bytes_at = extra[i : i + per][rows, bytes_of], part[rows, bytes_of]
-        best = np.concatenate([model.embedding[bytes_at], seen_at], axis=3).reshape(len(part), FILTERS, -1)
-        out["filters"] += np.einsum("cf,cfx->xf", own, best, optimize=True)
+        codes = np.take_along_axis(coded(part, extra[i : i + per]), bytes_of.reshape(len(part), -1), axis=1)
+        best, bytes_at = model.table().take(codes, axis=0).reshape(len(part), FILTERS, -1), codes & 255
+        out["filters"] += np.matmul(own.T[:, None, :], best.transpose(1, 0, 2))[:, 0].T
         into = (own[:, :, None] * model.filters.T[None]).reshape(len(part), FILTERS, WIDTH, CHANNELS)
         for c in range(DIMS):
             out["embedding"][:, c] += np.bincount(bytes_at.reshape(-1), weights=into[..., c].reshape(-1), minlength=256)
-    return float((np.logaddexp(0, z) - labels * z).mean()), out
+    return float((drawn * (np.logaddexp(0, z) - labels * z)).sum() / drawn.sum()), out
 
 
 def start(rng: np.random.Generator) -> Model:
@@ -132,13 +160,13 @@ def start(rng: np.random.Generator) -> Model:
 
 def fit(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -> Model:
     """Adam on the logistic loss; batches have as many rows of either class, and the offset is set for `share` at last."""
-    rng, chunks = np.random.default_rng(seed), [chunked(t) for t in texts]
+    rng, (chunks, times) = np.random.default_rng(seed), zip(*(distinct(chunked(t)) for t in texts), strict=True)
     seen = [repeats(c).astype(np.uint8) for c in chunks]
     model, of_class = start(rng), [np.flatnonzero(labels == y) for y in (0, 1)]
     moments = {n: (np.zeros_like(getattr(model, n)), np.zeros_like(getattr(model, n))) for n in NAMES}
     for step in range(1, STEPS + 1):
-        rows = np.concatenate([rng.choice(c, BATCH // 2) for c in of_class])
-        _, slope = gradient(model, [chunks[i] for i in rows], [seen[i] for i in rows], labels[rows])
+        rows, drawn = np.unique(np.concatenate([rng.choice(c, BATCH // 2) for c in of_class]), return_counts=True)
+        _, slope = gradient(model, [chunks[i] for i in rows], [seen[i] for i in rows], labels[rows], [times[i] for i in rows], drawn)
         for name in NAMES:
             m, v = moments[name]
             g = slope[name].astype(np.float32) + 1e-5 * getattr(model, name)

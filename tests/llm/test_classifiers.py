@@ -195,6 +195,20 @@ def test_gradient_by_differences(monkeypatch):
             assert slope[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=2e-3, rel=0.05)
 
 
+def test_gradient_of_repeated_chunks_and_rows():
+    """Different chunks with their counts, and rows with theirs, give the gradient of all chunks of all rows."""
+    q, rng = quality_model, np.random.default_rng(4)
+    model = q.start(rng)
+    texts = [q.chunked(t) for t in (b"abc " * 700, bytes(rng.integers(97, 120, 1500, dtype=np.uint8)), b"", b"xy" * 900)]
+    labels, drawn = np.array([0, 1, 1, 0]), np.array([3, 1, 2, 1])
+    some, times = zip(*map(q.distinct, texts), strict=True)
+    assert [len(x) for x in some] != [len(x) for x in texts] and [t.sum() for t in times] == [len(x) for x in texts]
+    every = np.repeat(np.arange(4), drawn)
+    loss, slope = q.gradient(model, [texts[i] for i in every], [q.repeats(texts[i]) for i in every], labels[every])
+    again, counted = q.gradient(model, [*some], [q.repeats(x) for x in some], labels, [*times], drawn)
+    assert loss == pytest.approx(again, rel=1e-5) and all(np.allclose(slope[n], counted[n], atol=1e-5) for n in q.NAMES)
+
+
 def patches64(q, model, chunks, extra):
     x = np.concatenate([model.embedding[chunks], extra.astype(np.float64)], axis=2)
     return np.stack([x[:, p * q.HOP : p * q.HOP + q.WIDTH].reshape(len(chunks), -1) for p in range(q.POSITIONS)], axis=1)
