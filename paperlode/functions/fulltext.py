@@ -1,9 +1,12 @@
 """Weighted full-text search: postings, a query parser, matching and ranking.
 
 Postings are rows (paper_id, lexeme, pos, weight): the title's words have weight A, the abstract's B, at positions that
-follow the title's. Mode "simple" takes lower-case runs of ASCII letters and digits, within Spark's own functions; mode
-"english" drops stop words and stems in Arrow batches. For a large corpus write_postings() stores them bucketed by
-lexeme, so that a query reads the buckets of its words only; by_lexeme() orders them for tables that are plain files.
+follow the title's. Mode "simple" takes lower-case runs of ASCII letters and digits; mode "english" drops stop words and
+stems each different word of a batch once.
+
+For searches the postings are stored inverted: inverted() makes, in one pass over the texts, a row of all places for each
+lexeme of a few MB of text, and by_lexeme() orders these rows within each task; nothing is shuffled, so a frequent lexeme
+burdens no single task. flat() gives the postings back. write_postings() stores them bucketed by lexeme instead.
 """
 
 from __future__ import annotations
@@ -11,18 +14,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlode.batches import BATCH_BYTES, mapped, slices
 from paperlode.functions.stemmer import stem
-from paperlode.packaging import ship
 
 #: The weights of the four classes of places, the greatest position and the most places of a lexeme.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 MOST_POSITION, MOST_PLACES = 16383, 256
+#: A row of inverted postings holds at most so many places; more make further rows.
+MOST_HELD = 1 << 16
 #: Fixed value: the public list of English stop words of the Snowball stemmer's authors.
 STOP_WORDS = frozenset(
     """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it
@@ -77,15 +84,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
-def stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [[{"w": stem(x["w"]), "p": x["p"], "f": x["f"]} for x in row if x["w"] not in STOP_WORDS] for row in batch.column(1).to_pylist()]
-        kind = pa.list_(pa.struct([("w", pa.string()), ("p", pa.int32()), ("f", pa.string())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["paper_id", "x"])
-
-
 def postings(papers: DataFrame, mode: str = "simple") -> DataFrame:
     """(paper_id, lexeme, pos, weight)."""
+    if mode == "english":
+        return flat(inverted(papers, mode))
 
     def placed(found: Column, name: str, after: Column) -> Column:
         return F.transform(found, lambda w, i: F.struct(w.alias("w"), F.least(i + 1 + after, F.lit(MOST_POSITION)).cast("int").alias("p"), F.lit(name).alias("f")))
@@ -93,25 +95,89 @@ def postings(papers: DataFrame, mode: str = "simple") -> DataFrame:
     # bound as a lambda's variable, the words are found once; in a lambda's body they would be found for each element
     found = F.array(F.struct(words(F.col("title")).alias("t"), words(F.col("abstract")).alias("b")))
     both = F.transform(found, lambda r: F.concat(placed(r["t"], "A", F.lit(0)), placed(r["b"], "B", F.size(r["t"]))))[0]
-    if mode == "english":
-        ship(papers.sparkSession)
-        x = papers.select("paper_id", both.alias("x")).mapInArrow(stemmed, "paper_id long, x array<struct<w:string,p:int,f:string>>")
-        each = x.select("paper_id", F.explode("x").alias("x"))
-    else:
-        # the expression itself is exploded: over a column of an earlier projection the optimizer would add a filter that
-        # isn't empty, and the texts would be tokenised twice
-        each = papers.select("paper_id", F.explode(both).alias("x"))
+    # the expression itself is exploded: over a column of an earlier projection the optimizer would add a filter that
+    # isn't empty, and the texts would be tokenised twice
+    each = papers.select("paper_id", F.explode(both).alias("x"))
     return each.select("paper_id", F.col("x.w").alias("lexeme"), F.col("x.p").alias("pos"), F.col("x.f").alias("weight"))
 
 
+#: A byte's lower-case form, and which of these belong to words.
+LOWER = np.array([*bytes(range(256)).lower()], np.uint8)
+OF_WORDS = np.isin(np.arange(256), [*b"abcdefghijklmnopqrstuvwxyz0123456789"])
+#: The characters beyond ASCII whose lower-case form has an ASCII letter.
+TO_ASCII = {"\u0130": "i\u0307", "\u212a": "k"}
+
+
+def found_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all texts; of each the number of its text, and its own in that text from 1."""
+    texts = texts.cast(pa.string())
+    for c, form in TO_ASCII.items():
+        if pc.any(pc.match_substring(texts, c)).as_py():
+            texts = pc.replace_substring(texts, c, form)
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    data = LOWER[data]
+    bounds = bounds - bounds[0]
+    inside = OF_WORDS[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = bounds[:-1][bounds[:-1] < len(data)]
+    begins[firsts] = inside[firsts]  # a text's first word doesn't go on from the text before
+    begins = np.flatnonzero(begins)
+    ends = np.cumsum(inside, dtype=np.int32)
+    offsets = np.append(ends[begins] - 1, ends[-1:] if len(data) else 0).astype(np.int32)
+    before = np.searchsorted(begins, bounds)
+    n = np.diff(before)
+    own = np.arange(1, len(begins) + 1) - np.repeat(before[:-1], n)
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data[inside])), np.repeat(np.arange(len(texts)), n), own
+
+
+def inverted_rows(mode: str, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 2, most):
+        (title, of_title, in_title), (body, of_body, in_body) = found_in(batch.column(1)), found_in(batch.column(2))
+        before = np.bincount(of_title, minlength=batch.num_rows)
+        places = np.concatenate([-np.minimum(in_title, MOST_POSITION), np.minimum(in_body + before[of_body], MOST_POSITION)]).astype(np.int32)
+        coded = pa.concat_arrays([title, body]).dictionary_encode()
+        forms = coded.dictionary
+        if mode == "english":
+            forms = pa.array([None if w in STOP_WORDS else stem(w) for w in forms.to_pylist()], pa.string())
+        names = forms.drop_null().unique()
+        names = names.take(pc.sort_indices(names))
+        number = pc.fill_null(pc.index_in(forms, names, skip_nulls=True), len(names)).to_numpy()
+        numbers = number.astype(np.uint16 if len(names) < 1 << 16 else np.int32)[coded.indices.to_numpy()]
+        order = np.argsort(numbers, kind="stable")
+        numbers = numbers[order]
+        kept = int(np.searchsorted(numbers, len(names)))  # stop words come last
+        if kept == 0:
+            continue
+        order, numbers = order[:kept], numbers[:kept]
+        starts = np.union1d(np.flatnonzero(np.diff(numbers)) + 1, np.arange(0, kept, MOST_HELD))
+        held = lambda values: pa.ListArray.from_arrays(pa.array(np.append(starts, kept), pa.int32()), values)
+        papers = batch.column(0).take(pa.array(np.concatenate([of_title, of_body])[order]))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(numbers[starts])), held(papers), held(pa.array(places[order]))], names=["lexeme", "papers", "places"])
+
+
+def inverted(papers: DataFrame, mode: str = "simple", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(lexeme, papers, places): a lexeme's places in a few MB of text; a place in a title is negative."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    texts = papers.select(F.col("paper_id").cast("long").alias("paper_id"), text("title"), text("abstract"))
+    return mapped(texts, partial(inverted_rows, mode, batch_bytes), "lexeme string, papers array<long>, places array<int>")
+
+
+def flat(index: DataFrame) -> DataFrame:
+    """(paper_id, lexeme, pos, weight) of inverted postings; a filter on lexemes reaches their scan."""
+    each = index.select("lexeme", F.explode(F.arrays_zip("papers", "places")).alias("x"))
+    return each.select(F.col("x.papers").alias("paper_id"), "lexeme", F.abs("x.places").alias("pos"), F.when(F.col("x.places") < 0, "A").otherwise("B").alias("weight"))
+
+
 def write_postings(table: DataFrame, name: str, buckets: int = 256) -> None:
     """As a table bucketed and sorted by lexeme: filters on lexemes prune buckets, and phrase joins don't shuffle."""
     table.write.bucketBy(buckets, "lexeme").sortBy("lexeme", "paper_id").mode("overwrite").saveAsTable(name)
 
 
-def by_lexeme(table: DataFrame) -> DataFrame:
-    """In order of lexemes: of the files a query's filter then reads only the row groups that hold its words."""
-    return table.repartitionByRange("lexeme").sortWithinPartitions("lexeme", "paper_id")
+def by_lexeme(index: DataFrame) -> DataFrame:
+    """In order of lexemes in each file: of the files a query's filter then reads only the pages that hold its words."""
+    return index.sortWithinPartitions("lexeme")
 
 
 def refreshed(old: DataFrame, changed: DataFrame, mode: str = "simple") -> DataFrame:

@@ -69,8 +69,8 @@ def with_bits(c, spark, sf_dir):
 
 
 def stored_postings(c, spark, sf_dir, mode="simple"):
-    """The papers' postings, in order of lexemes, built once for each application."""
-    return built(spark, ("postings", mode, sf_dir), lambda: fulltext.by_lexeme(fulltext.postings(c.papers, mode)))
+    """The papers' postings, of a table in order of lexemes that is built once for each application."""
+    return fulltext.flat(built(spark, ("postings", mode, sf_dir), lambda: fulltext.by_lexeme(fulltext.inverted(c.papers, mode))))
 
 
 def rounded(c: str):
