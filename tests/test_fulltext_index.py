@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperlode.functions import fulltext
 from paperlode.functions.stemmer import stem
-from paperlode.plans import registry
+from paperlode.plans import registry, search
 from paperlode.sources import corpus as model
 
 CHARACTERS = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x11000)]))
@@ -58,3 +58,12 @@ def test_english_search_finds_what_plain_postings_have(spark):
     wanted = {stem("licenses"), stem("applied")}
     has = {r[0] for r in rows(fulltext.postings(model.from_test_tables(spark, folder).papers)) if r[1] not in fulltext.STOP_WORDS and stem(r[1]) in wanted}
     assert len(own) == min(20, len(has)) and {r.paper_id for r in own} <= has
+
+
+def test_ranked_page_is_that_of_plain_postings(spark):
+    folder = "/root/testdata/sf0.01"
+    c = model.from_test_tables(spark, folder)
+    stored = registry.stored_postings(c, spark, folder)
+    assert stored.columns == ["paper_id", "lexeme", "pos", "weight"] and "places" in stored._jdf.queryExecution().optimizedPlan().toString()
+    pages = [search.keyword_search(registry.KEYWORDS, c.papers, t).select("paper_id", F.round("rank", 6), "created").collect() for t in (stored, fulltext.postings(c.papers))]
+    assert len(pages[0]) == 20 and pages[0] == pages[1]
