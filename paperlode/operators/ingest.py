@@ -16,6 +16,8 @@ from paperlode.operators import tables
 from paperlode.packaging import ship
 from paperlode.sources.corpus import LENGTHS, Corpus
 
+#: Bytes of text of a task that calls a model, about; more make more tasks.
+TASK_BYTES = 32 << 20
 #: A model takes texts and returns a row of numbers for each.
 Model = Callable[[list[str]], np.ndarray]
 
@@ -77,14 +79,17 @@ def batches(ids: DataFrame, size: int) -> DataFrame:
     return at.select("paper_id", F.expr(f"at div {size}").alias("chunk"))
 
 
-def embedded(papers: DataFrame, embeddings: DataFrame, model: Model, batch: int = 128, workers: int = 4, calls_per_second: float = 1.0) -> DataFrame:
+def embedded(papers: DataFrame, embeddings: DataFrame, model: Model, batch: int = 128, workers: int = 4, calls_per_second: float = 1.0, task_bytes: int = TASK_BYTES, at_once: int | None = None) -> DataFrame:
     """(paper_id, vector) of the papers that have none yet.
 
-    `workers` tasks call the model, each with its part of the allowed rate. A batch that fails is left out; as what is
-    missing is found by an anti-join, the next run takes it up.
+    At least `workers` tasks call the model, and so many that each has about `task_bytes` of text, each with its part of
+    the allowed rate. Where a cluster runs fewer tasks than these at once, `at_once` says how many, and those share the rate.
+    A batch that fails is left out; as what is missing is found by an anti-join, the next run takes it up.
     """
     ship(papers.sparkSession)
-    pause = workers / calls_per_second
+    held = tables.missing(papers.select("paper_id", F.octet_length("abstract").alias("held")), embeddings, "paper_id").agg(F.sum("held")).first()[0] or 0
+    n_tasks = max(workers, -(-held // task_bytes))
+    pause = min(n_tasks, at_once or n_tasks) / calls_per_second
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         free_at = 0.0
@@ -102,7 +107,7 @@ def embedded(papers: DataFrame, embeddings: DataFrame, model: Model, batch: int
                 yield pd.DataFrame({"paper_id": some["paper_id"].to_numpy(), "vector": list(np.asarray(rows, np.float32))})
 
     todo = tables.missing(papers, embeddings, "paper_id").select("paper_id", F.coalesce("abstract", F.lit("")).alias("abstract"))
-    return todo.repartition(workers).mapInPandas(run, "paper_id long, vector array<float>")
+    return todo.repartition(n_tasks).mapInPandas(run, "paper_id long, vector array<float>")
 
 
 def stub_model(dims: int) -> Model:
