@@ -67,3 +67,12 @@ def test_ranked_page_is_that_of_plain_postings(spark):
     assert stored.columns == ["paper_id", "lexeme", "pos", "weight"] and "places" in stored._jdf.queryExecution().optimizedPlan().toString()
     pages = [search.keyword_search(registry.KEYWORDS, c.papers, t).select("paper_id", F.round("rank", 6), "created").collect() for t in (stored, fulltext.postings(c.papers))]
     assert len(pages[0]) == 20 and pages[0] == pages[1]
+
+
+@pytest.mark.parametrize("query", ["license apache inea:*", '"licensed under"', '"a b" cd'])
+def test_matches_are_those_of_plain_postings(spark, query):
+    """Through an index of one row of papers a batch, as texts are cut anywhere."""
+    parsed = fulltext.lexemes(fulltext.parse(query), "simple")
+    index = fulltext.flat(fulltext.by_lexeme(fulltext.inverted(papers(spark), batch_bytes=1)))
+    found = [sorted(r[0] for r in fulltext.matching(t, *parsed).collect()) for t in (index, fulltext.postings(papers(spark)))]
+    assert found[0] == found[1] and (found[0] or "apache" in query)
