@@ -221,7 +221,7 @@ def rank(table: DataFrame, terms: list[tuple[str, bool]], phrases: list[list[str
     own = table.filter(any_of(flat))
     if not terms and len(phrases) == 1 and len(set(phrases[0])) > 1:
         return nearness(own)
-    places = Window.partitionBy("paper_id", "lexeme").orderBy("pos")
+    places = Window.partitionBy("paper_id", "lexeme").orderBy("pos", "weight")  # at the greatest position the title's first
     numbered = own.withColumn("j", F.row_number().over(places)).filter(F.col("j") <= MOST_PLACES).withColumn("w", weight_of())
     each = numbered.groupBy("paper_id", "lexeme").agg(
         F.sum(F.col("w") / (F.col("j") * F.col("j"))).alias("all"),
@@ -229,14 +229,18 @@ def rank(table: DataFrame, terms: list[tuple[str, bool]], phrases: list[list[str
         F.min_by("j", F.struct(-F.col("w"), F.col("j"))).alias("at"),
     )
     term = (F.col("top") + F.col("all") - F.col("top") / (F.col("at") * F.col("at"))) / 1.64493406685
-    return each.groupBy("paper_id").agg((F.sum(term) / len(flat)).alias("rank"))
+    # in the order of their values: as rows arrive, equal terms would give sums that differ in their last bits, and the
+    # page would follow these instead of the dates
+    terms_of = each.groupBy("paper_id").agg(F.sort_array(F.collect_list(term)).alias("x"))
+    return terms_of.select("paper_id", (F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / len(flat)).alias("rank"))
 
 
 def nearness(own: DataFrame) -> DataFrame:
     """1 - the product, over pairs of places of two lexemes, of 1 - sqrt(weights * closeness); pairs within a paper only,
     of a query's words, MOST_PLACES places each."""
-    numbered = own.withColumn("w", weight_of()).withColumn("j", F.row_number().over(Window.partitionBy("paper_id", "lexeme").orderBy("pos"))).filter(F.col("j") <= MOST_PLACES)
-    listed = numbered.groupBy("paper_id").agg(F.collect_list(F.struct("lexeme", "pos", "w")).alias("x"))
+    places = Window.partitionBy("paper_id", "lexeme").orderBy("pos", "weight")
+    numbered = own.withColumn("w", weight_of()).withColumn("j", F.row_number().over(places)).filter(F.col("j") <= MOST_PLACES)
+    listed = numbered.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("lexeme", "pos", "w"))).alias("x"))  # a product's last bits follow its order
 
     def factor(a: Column, b: Column) -> Column:
         d = F.abs(a["pos"] - b["pos"]).cast("double")

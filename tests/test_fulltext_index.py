@@ -1,5 +1,7 @@
 """The stored full-text index: the same postings as the plain ones, made in one pass without a shuffle."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,20 @@ def test_matches_are_those_of_plain_postings(spark, query):
     index = fulltext.flat(fulltext.by_lexeme(fulltext.inverted(papers(spark), batch_bytes=1)))
     found = [sorted(r[0] for r in fulltext.matching(t, *parsed).collect()) for t in (index, fulltext.postings(papers(spark)))]
     assert found[0] == found[1] and (found[0] or "apache" in query)
+
+
+@pytest.mark.parametrize("query", ["a b c d", '"a b c d"'])
+def test_rank_does_not_follow_the_order_of_rows(spark, query):
+    """Sums and products of doubles in the order of arrival differ in their last bits, and a page of ties follows these."""
+    if query[0] == "a":
+        texts = [" ".join(f"{w} " * n for w, n in zip("abcd", counts)) for counts in itertools.permutations((1, 2, 3, 5))]
+    else:
+        texts = [f"a{' x' * 9} b{' x' * 10} c{' x' * 14} d"] * 24
+    table = fulltext.postings(spark.createDataFrame([*enumerate(texts)], "paper_id long, abstract string").withColumn("title", F.lit(""))).cache()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = fulltext.rank(table, *fulltext.lexemes(fulltext.parse(query), "simple")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        table.unpersist()
+    assert len(rows) == len(texts) and len({r.rank for r in rows}) == 1
